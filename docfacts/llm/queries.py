@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from docfacts.llm import decontamination, line_dedup
 from docfacts.llm.packing import op5_packing
 from docfacts.llm.token_counts import op4_token_counts
 
 QUERIES = {
+    "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": decontamination.ORACLE_SQL,
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
