@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from docfacts.llm import decontamination, line_dedup
+from docfacts.llm.fingerprints import op6_document_fingerprints
 from docfacts.llm.packing import op5_packing
+from docfacts.llm.secrets import op2_secret_scan
 from docfacts.llm.token_counts import op4_token_counts
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
