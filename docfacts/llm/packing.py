@@ -15,7 +15,9 @@ Extra columns are ignored. A document longer than a chunk makes a chunk of its o
 
 from __future__ import annotations
 
+import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -23,7 +25,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
@@ -31,37 +33,29 @@ from tokenizers import Tokenizer
 from docfacts.llm.common import documents, read_table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: The pre-tokenising pattern of byte-level BPE files.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters that every Unicode version puts in the same class; texts with others go to the library whole.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏͰ-ͳΆ-ϿЀ-ҁ‐-‧€]*")
-MEMORY_PIECES = 500_000
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
 
 
-class PieceIds(dict):
-    """Little-endian uint32 ids of pieces, looked up once in the library."""
+class Encoder:
+    """Ids of byte-level BPE: tiktoken over the same vocabulary for plain texts, the tokenizers library for all others."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+    def __init__(self, path: str, ranks: str):
+        self.library = Tokenizer.from_file(path)
+        with open(ranks, "rb") as f:
+            merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.plain = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY_PIECES:
-            self.clear()
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+    def encode(self, text: str) -> bytes:
+        """Little-endian uint32 ids, as the library gives them."""
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @cache
-def piece_ids(path: str) -> PieceIds:
-    return PieceIds(Tokenizer.from_file(path))
-
-
-def encode(text: str, known: PieceIds) -> bytes:
-    """The ids of a text as the library gives them, as little-endian uint32."""
-    if "<|" not in text and PLAIN.fullmatch(text):
-        return b"".join(map(known.__getitem__, PIECES.findall(text)))
-    return np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def encoder_of(path: str, ranks: str) -> Encoder:
+    return Encoder(path, ranks)
 
 
 def capacities(tokens: int, size: int) -> list[int]:
@@ -91,14 +85,15 @@ def pack(lengths: list[int], size: int, linear: float, quadratic: float) -> list
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str | None = None, size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024, chunk_tokens: int = 4_000_000
+    docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024, chunk_tokens: int = 4_000_000
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, first = piece_ids(path), TaskContext.get().partitionId() << 33
+        encoder, first = encoder_of(path, ranks), TaskContext.get().partitionId() << 33
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
         held = 0
@@ -117,7 +112,7 @@ def pack_documents(
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids.append(encode(text, known) + end)
+                ids.append(encoder.encode(text) + end)
                 doc_ids.append(doc_id)
                 held += len(ids[-1]) // 4
                 if held >= chunk_tokens:
