@@ -6,6 +6,7 @@ from docfacts.llm import decontamination, line_dedup
 from docfacts.llm.fingerprints import op6_document_fingerprints
 from docfacts.llm.packing import op5_packing
 from docfacts.llm.secrets import op2_secret_scan
+from docfacts.llm.suffix_tree import op9_lm_scoring
 from docfacts.llm.token_counts import op4_token_counts
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontamination.ORACLE_SQL,
