@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docfacts.llm import decontamination, line_dedup
 from docfacts.llm.fingerprints import op6_document_fingerprints
+from docfacts.llm.near_dedup import op7_near_dedup
 from docfacts.llm.packing import op5_packing
 from docfacts.llm.secrets import op2_secret_scan
 from docfacts.llm.suffix_tree import op9_lm_scoring
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
 }
