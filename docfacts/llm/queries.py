@@ -6,11 +6,14 @@ from docfacts.llm import decontamination, line_dedup
 from docfacts.llm.fingerprints import op6_document_fingerprints
 from docfacts.llm.near_dedup import op7_near_dedup
 from docfacts.llm.packing import op5_packing
+from docfacts.llm.quality import op1_quality_classifier
 from docfacts.llm.secrets import op2_secret_scan
 from docfacts.llm.suffix_tree import op9_lm_scoring
 from docfacts.llm.token_counts import op4_token_counts
+from docfacts.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_token_counts": op4_token_counts,
@@ -19,6 +22,7 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontamination.ORACLE_SQL,
