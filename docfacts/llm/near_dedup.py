@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from docfacts.llm.common import WordHashes, checkpoint, documents, mix64, read_table, shingle_hashes, words_of
 
 BANDS, ROWS = 26, 6
-SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & (2**64 - 1)) for i in range(BANDS * ROWS)]
+SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & (2**64 - 1)) for i in range(256)]  # of the layers
 
 
 def super_minhash(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
@@ -80,20 +80,19 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return h
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, digest of the word sequence, n_shingles, bands of each row; no bands without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(300_000)
         for b in batches:
-            texts = [words_of(t) for t in b.column("text").to_pylist()]
-            for lo in range(0, len(texts), 256):  # bounds the arrays
-                part = texts[lo : lo + 256]
+            for lo in range(0, b.num_rows, 256):  # bounds the arrays
+                part = [words_of(t) for t in b.column("text").slice(lo, 256).to_pylist()]
                 sets = [shingle_hashes(t, hashes) for t in part]
-                bands = band_hashes(super_minhash(sets)).view(np.int64)
+                bands = band_hashes(super_minhash(sets, n_bands * rows), n_bands, rows).view(np.int64)
                 lengths = [len(s) for s in sets]
                 digests = [xxhash.xxh3_128_digest(b" ".join(t)) for t in part]
-                offsets = np.cumsum([0, *[BANDS if n else 0 for n in lengths]]).astype(np.int32)
+                offsets = np.cumsum([0, *[n_bands if n else 0 for n in lengths]]).astype(np.int32)
                 kept = bands[np.array(lengths, np.int64) > 0].ravel()
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, len(part)), pa.array(digests, pa.binary()), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept))],
@@ -188,10 +187,10 @@ def verified_links(members: DataFrame, percent: int, block: int, parts: int) ->
     return rows.groupBy("key").applyInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 1500, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS, band_rows: int = ROWS, block: int = 1500, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; n_bands * band_rows is 256 at most."""
     rows = documents(docs)
-    marks = checkpoint(signed(rows))
+    marks = checkpoint(signed(rows, n_bands, band_rows))
     classes = marks.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).where("id is not null")
     bands = classes.select("id", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
