@@ -7,7 +7,8 @@ maximal-scoring segments of a text. Segment scores follow an extreme-value law i
 sum p0 exp(lambda s) = 1 and K is fitted to the clean training documents. A document's statistic is the most significant sum of
 its r best segments (Karlin-Altschul sum statistics); an isotonic fit over the training documents turns it into a score.
 
-Counts, K and the isotonic fit use every labelled document of the training folds; what reaches the driver are the
+Counts, K and the isotonic fit use the labelled documents of the training folds, at most `most_documents` of them (those
+with the smallest hash of their id), so that the labels are broadcast and no text is shuffled; what reaches the driver are the
 tokens with a share of `share` or more of the toxic counts (at most 1 / share rows) and 64 bins. Scoring is one pass
 without shuffle. Labels, lang, source and doc_id are never inputs.
 
@@ -153,12 +154,12 @@ def segment_batches(batches: Iterator[pa.RecordBatch], model: Segments) -> Itera
         yield b, best, lengths
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, prior: float = 2000.0, least_z: float = 3.0, share: float = 1e-5, bins: int = 64) -> Segments | float:
-    """learn: which doc_ids may teach. A plain number is the score of all documents."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, prior: float = 2000.0, least_z: float = 3.0, share: float = 1e-5, bins: int = 64, most_documents: int = 100_000) -> Segments | float:
+    """learn: which doc_ids may teach; at most `most_documents` do, those with the smallest hash. A plain number is the score of all documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn)
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    labelled = checkpoint(docs.join(known, "doc_id").select("text", "y"))
-    model = token_scores(token_counts(labelled), prior, least_z, share)
+    known = checkpoint(known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents))
+    labelled = docs.join(F.broadcast(known), "doc_id").select("text", "y")
+    model = token_scores(checkpoint(token_counts(labelled)), prior, least_z, share)
     if model is None:
         return float(known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0])
 
