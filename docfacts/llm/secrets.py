@@ -1,7 +1,7 @@
 """Secret scan: three fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The models are first-order: transition probabilities between the characters of [A-Za-z0-9+/_=.-] in random strings and in
-ordinary identifiers, with add-one smoothing. They are learned from labelled samples (value, is_secret); by default these
+ordinary identifiers, smoothed by the characters' own frequencies (add-one). They are learned from labelled samples (value, is_secret); by default these
 come from a bounded, reproducible sample of documents: what the fixed patterns match are secrets, other words of
 eight or more letters, digits and marks are identifiers. A candidate is a maximal run of `min_length` or more such
 characters outside the pattern spans; it is a secret if its mean log-likelihood ratio per character exceeds `threshold`.
@@ -30,6 +30,7 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 SYMBOLS = len(ALPHABET)
+SMOOTHING = 20  # weight of a character's own frequency in its transition probabilities
 RUN = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{%d,}+"
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
@@ -85,11 +86,10 @@ def ratio_table(samples: DataFrame) -> list[float]:
     n = {(r["is_secret"], r["slot"]): r["count"] for r in pairs.groupBy("is_secret", "slot").count().collect()}
 
     def logs(label: bool) -> list[float]:
-        out = []
-        for a in range(SYMBOLS):
-            row = [1 + n.get((label, a * SYMBOLS + b + 1), 0) for b in range(SYMBOLS)]
-            out += [math.log(x / sum(row)) for x in row]
-        return out
+        rows = [[n.get((label, a * SYMBOLS + b + 1), 0) for b in range(SYMBOLS)] for a in range(SYMBOLS)]
+        follows = [1 + sum(row[b] for row in rows) for b in range(SYMBOLS)]
+        share = [x / sum(follows) for x in follows]
+        return [math.log((row[b] + SMOOTHING * share[b]) / (sum(row) + SMOOTHING)) for row in rows for b in range(SYMBOLS)]
 
     return [round(r - i, 6) for r, i in zip(logs(True), logs(False), strict=True)]
 

@@ -12,7 +12,7 @@ with the smallest hash of their id), so that the labels are broadcast and no tex
 tokens with a share of `share` or more of the toxic counts (at most 1 / share rows) and 64 bins. Scoring is one pass
 without shuffle. Labels, lang, source and doc_id are never inputs.
 
-Nulls: a null text is empty, has no segment and gets the lowest score. Null or unmatched labels teach nothing; with one
+Nulls: a null text is empty and has no segment. Null or unmatched labels teach nothing; with one
 class or none the score is the toxic share (0 without labels). Repeated rows are scored each. Extra columns are ignored.
 """
 
@@ -88,11 +88,10 @@ class Segments:
     value: list[float] = field(default_factory=lambda: [0.0])
 
     def statistic(self, best: np.ndarray, n: int) -> float:
-        """-log of the chance that the r best segments of clean text of n tokens sum as high, for the best r."""
-        if not len(best):
-            return 0.0
+        """-log of the chance that the r best segments of clean text of n tokens sum as high, for the best r; without segments, as of one of score 0."""
+        best = best if len(best) else np.zeros(1)
         r = np.arange(1, min(len(best), 40) + 1)
-        total = np.cumsum(self.rate * np.sort(best)[::-1][: len(r)] - math.log(max(self.k * n, 1e-9)))
+        total = np.cumsum(self.rate * np.sort(best)[::-1][: len(r)] - math.log(self.k * max(n, 1)))
         log_factorial = np.cumsum(np.log(r))
         return float(np.max(total - (r - 1) * np.log(np.maximum(total, 1)) + log_factorial + np.concatenate([[0], log_factorial[:-1]]) - r * math.log(2)))
 
@@ -210,7 +209,7 @@ def score_toxicity(docs: DataFrame, model: Segments | float) -> DataFrame:
             return
         for b, best, lengths in segment_batches(batches, m):
             x = np.array([m.statistic(s, n) for s, n in zip(best, lengths, strict=True)])
-            passages = [int((m.rate * s > math.log(max(20 * m.k * n, 1e-9))).sum()) for s, n in zip(best, lengths, strict=True)]
+            passages = [int((m.rate * s > math.log(20 * m.k * max(n, 1))).sum()) for s, n in zip(best, lengths, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(m.score(x), pa.float64()), pa.array(passages, pa.int64())], ["doc_id", "score", "n_passages"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_passages long")
