@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from docfacts.plans import corpus, facts, learning, relational, review, streams
+from docfacts.plans import corpus, facts, learning, relational, review, streams, workspace
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (facts, relational, corpus, review, learning, streams):
+for _module in (facts, relational, corpus, review, learning, streams, workspace):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
