@@ -61,7 +61,7 @@ def ngrams(words: Column, longest: int) -> Column:
     return let(words, of)
 
 
-def occurrences(rows: DataFrame, labels: DataFrame, longest: int = 4) -> DataFrame:
+def occurrences(rows: DataFrame, labels: DataFrame, longest: int) -> DataFrame:
     """Lines × labels: every place where a label of the document's type stands between word boundaries, with g = (first word, n words, start, end).
 
     Only what matches gets its offsets computed. `longest` is the most words that a label of the catalogue has.
@@ -108,8 +108,9 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def reads(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per label occurrence with a value: on the same line, else on the next line of the page."""
-    kinds = [tuple(r) for r in labels.select("type", "format", "scale").distinct().collect()]  # of the catalogue
-    found = occurrences(rows, labels)
+    catalogue = labels.select("type", "format", "scale", "words").distinct().collect()
+    kinds, longest = sorted({tuple(r)[:3] for r in catalogue}, key=str), max((r["words"] for r in catalogue), default=1)
+    found = occurrences(rows, labels, longest)
     before, rest = F.rtrim(F.substring("text", F.lit(1), F.col("g.start"))), F.substring(F.col("text"), F.col("g.end") + 1, F.length("text"))
     opens = (before == "") | before.rlike("[-–—|;•(]$")
     party = F.substring_index("field_id", ".", 1)
