@@ -103,15 +103,19 @@ def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component): component is the smallest id reachable; edges (a, b) of longs. Alternating stars, each round checkpointed."""
+    """(id, component): component is the smallest id reachable; edges (a, b) of longs. Alternating stars.
+
+    Minima are checkpointed before they are joined back, so that a join reads both sides by shuffles of its own and a hub with a
+    large part of all edges can be split at run time.
+    """
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        lowest = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpoint(large.where("a <> b").distinct())
+        low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = checkpoint(small.where("a <> b").distinct())
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
