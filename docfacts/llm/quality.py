@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docfacts.llm.common import documents, fold_of, read_table
 
 PASSAGE_WORDS = 64
-MOST_WORDS = 300_000  # that a worker remembers
+MOST_WORDS = 150_000  # that a worker remembers
 #: Bytes of each class; all other bytes are one more.
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(128, 256)), b".,;:", b"!?", b"#$%&*@^~", b"|<>[]{}\\/=+_", b"\"'()-"]
 WORD_FEATURES = len(CLASSES) + 4
