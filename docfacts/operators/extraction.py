@@ -106,18 +106,72 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+BARE = r"^[\s:=.°#\-–—]*"
+AMOUNT = r"(?:\d{1,3}(?:[.\s]\d{3})*,\d{1,2}|\d+\.\d{1,2})"
+#: Two amounts a column's gap apart: which column the field is can't be told.
+COLUMNS = AMOUNT + r"(?:\s*(?:€|(?i:euro?)))?\s{3,}(?:€\s*)?" + AMOUNT
+BILINGUAL = r"(?<!\S)\p{L}{3,}[/\\]\p{L}{3,}"
+TRAILING_TAX_ID = r"(?i)(?<![A-Za-z0-9_])(?:(?:IT)?\d{11}|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])$"
+
+
+def with_twins(labels: DataFrame) -> DataFrame:
+    """Adds twins, all labels of the same field, and others, those of the type's other fields: what a bilingual label's tail and the next column begin with."""
+    twins = labels.groupBy("document_type", "field_id").agg(F.collect_set("label").alias("twins"))
+    every = labels.groupBy("document_type").agg(F.collect_set("label").alias("every"))
+    return labels.join(twins, ["document_type", "field_id"]).join(every, "document_type").withColumn("others", F.array_except("every", "twins")).drop("every")
+
+
+def tail_parts(rest: Column) -> Column:
+    """The parts of a label's tail, "/SURNAME/NOM", without blank ones; none if no slash follows the label."""
+    bare = F.regexp_replace(rest, BARE, "")
+    return F.when(bare.rlike(r"^[/\\]"), F.filter(F.split(bare, r"[/\\]"), lambda x: F.trim(x) != ""))
+
+
+def ends_label_line(rest: Column) -> Column:
+    """Whether nothing but marks, or only twins of the label, stand after it."""
+    parts = tail_parts(rest)
+    twins = parts.isNotNull() & (F.size(parts) > 0) & F.forall(parts, lambda x: F.array_contains("twins", fold(x)))
+    return rest.rlike(BARE + "$") | F.coalesce(twins, F.lit(False))
+
+
+def after_twin(rest: Column) -> Column:
+    """Text after a label's twins, up to the next column: another field's label or a bilingual word. Null without a twin, or where nothing follows."""
+
+    def of(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        before = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+        twin = F.array_max(F.transform(F.filter("twins", lambda t: F.call_function("startswith", fold(last), F.concat(t, F.lit(" ")))), lambda t: F.size(F.split(t, " "))))
+        start = F.get(tokens_with_offsets(last), twin)["at"]
+        ok = F.forall(before, lambda x: F.array_contains("twins", fold(x))) & twin.isNotNull()
+        return F.when(ok, F.substring(last, start + 1, F.length(last)))
+
+    # a slash inside the value's own columns belongs to the next column's bilingual word: cut there first
+    head = F.regexp_replace(rest, r"(?<=\s)\p{L}{3,}[/\\]\p{L}{3,}.*$", "")
+    text = let(tail_parts(head), lambda p: F.when(F.size(p) > 0, of(p)))
+
+    def cut(value: Column) -> Column:
+        folded = F.concat(F.lit(" "), F.regexp_replace(F.lower(value), "[^a-z0-9]", " "), F.lit(" "))
+        starts = F.filter(F.transform("others", lambda o: F.call_function("instr", folded, F.concat(F.lit(" "), o, F.lit(" "))) - 1), lambda i: i > 0)
+        return F.substring(value, F.lit(1), F.coalesce(F.array_min(starts), F.length(value)))
+
+    return let(text, cut)
+
+
 def reads(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row per label occurrence with a value: on the same line, else on the next line of the page."""
+    """A row per label occurrence with a value: on the same line, else after the label's twins, else on the next line of the page."""
     catalogue = labels.select("type", "format", "scale", "words").distinct().collect()
     kinds, longest = sorted({tuple(r)[:3] for r in catalogue}, key=str), max((r["words"] for r in catalogue), default=1)
-    found = occurrences(rows, labels, longest)
+    found = occurrences(rows, with_twins(labels), longest)
     before, rest = F.rtrim(F.substring("text", F.lit(1), F.col("g.start"))), F.substring(F.col("text"), F.col("g.end") + 1, F.length("text"))
-    opens = (before == "") | before.rlike("[-–—|;•(]$")
+    opens = (before == "") | before.rlike("[-–—|;•(]$") | ((F.trim(rest) == "") & before.rlike(TRAILING_TAX_ID)) | rest.rlike(BARE + r"[/\\]")
     party = F.substring_index("field_id", ".", 1)
     found = found.where(((F.col("type") != "string") | opens) & (~party.isin("issuer", "recipient") | F.col("party").isNull() | (party == F.col("party"))))
     found = once(found, "cited", cited(F.col("text"), F.col("g.first"), F.col("g.n"))).where("not cited").withColumn("rest", rest)
-    found = once(found, "here", read_by_kind(F.col("rest"), kinds, False))
-    ends = F.col("here").isNull() & F.col("next_text").isNotNull() & ~F.col("rest").rlike("[A-Za-z0-9]")
+    direct = F.when(~((F.col("type") == "money") & F.col("rest").rlike(COLUMNS)), read_by_kind(F.col("rest"), kinds, False))
+    tail = F.when(F.col("rest").rlike(BARE + r"[/\\]"), after_twin(F.col("rest")))
+    found = once(once(found, "direct", direct), "tail", F.when(F.col("direct").isNull(), tail))
+    found = once(found, "here", F.coalesce("direct", F.when(F.col("tail").isNotNull(), read_by_kind(F.col("tail"), kinds, True))))
+    ends = F.col("here").isNull() & F.col("next_text").isNotNull() & ends_label_line(F.col("rest"))
     below = F.when(ends, F.struct(read_by_kind(F.col("next_text"), kinds, True).alias("value"), fold(F.col("next_text")).alias("bare")))
     read = once(found, "below", below).withColumn("value", F.coalesce("here", "below.value")).where("value is not null").withColumn("bare", F.col("below.bare"))
     known = labels.select("document_type", F.col("label").alias("bare")).distinct()

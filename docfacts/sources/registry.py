@@ -10,10 +10,10 @@ from docfacts.functions.text import fold
 FIELD_SCHEMA = "field_id string, label string, type string, format string, scale string, cardinality string, pii string, validators array<string>, aliases array<string>"
 FIELDS = [
     ("document.number", "Numero documento", "identifier", None, None, "one", "NONE", ["non_empty"], ["fattura n", "numero fattura"]),
-    ("document.issue_date", "Data di emissione", "date", None, None, "one", "NONE", ["valid_date"], ["data emissione"]),
+    ("document.issue_date", "Data di emissione", "date", None, None, "one", "NONE", ["valid_date"], ["data emissione", "date of issue"]),
     ("issuer.vat_number", "Partita IVA", "identifier", "vat_number", None, "one", "NONE", ["vat_number_format"], ["p iva"]),
     ("recipient.vat_number", "Partita IVA", "identifier", "vat_number", None, "one", "NONE", ["vat_number_format"], ["p iva"]),
-    ("recipient.name", "Destinatario", "string", None, None, "one", "PERSONAL", [], ["cliente spett le"]),
+    ("recipient.name", "Destinatario", "string", None, None, "one", "PERSONAL", [], ["cliente spett le", "recipient"]),
     ("payment.iban", "IBAN", "identifier", "iban", None, "one", "FINANCIAL", ["iban_checksum"], ["coordinate bancarie"]),
     ("money.total", "Totale documento", "money", None, None, "one", "NONE", ["non_negative_money"], ["importo totale"]),
     ("items.amount", "Importo riga", "money", None, None, "many", "NONE", ["non_negative_money"], []),

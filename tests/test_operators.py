@@ -34,6 +34,17 @@ def test_outside_a_section_two_fields_share_and_conflict(spark):
     assert got["issuer.vat_number"]["status"] == got["recipient.vat_number"]["status"] == "CONFLICT"
 
 
+def test_bilingual_labels(spark):
+    got = read(spark, ["DESTINATARIO/RECIPIENT Mario Rossi SESSO/SEX M", "Data di emissione / Date of issue 01/02/2024"])
+    assert got["recipient.name"]["values"] == ["Mario Rossi"] and got["document.issue_date"]["values"] == ["2024-02-01"]
+    below = read(spark, ["Destinatario/Recipient", "Mario Rossi"])["recipient.name"]
+    assert below["values"] == ["Mario Rossi"] and below["confidence"] == 0.8
+
+
+def test_amounts_in_columns_are_left_alone(spark):
+    assert read(spark, ["Totale documento 2.051,00            205,10"])["money.total"]["status"] == "MISSING"
+
+
 def test_citations_and_rivals(spark):
     got = read(spark, ["Rif. fattura n. 99", "Fattura n. 12", "Totale documento: 1,00", "Totale documento: 2,00"])
     assert got["document.number"]["values"] == ["12"] and got["money.total"]["status"] == "CONFLICT"
