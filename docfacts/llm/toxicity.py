@@ -1,13 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens are the first five letters of each lower-cased word (insults are inflected). Their scores are log-odds between
-toxic and other labelled documents with an informative Dirichlet prior, the prior being the tokens' frequencies in both;
+toxic and other labelled documents with an informative Dirichlet prior, the prior being half a count and the tokens' frequencies in both;
 tokens without a clear difference (|z| < 3) get the log-odds of all of them together. A linear-time scan finds all
 maximal-scoring segments of a text. Segment scores follow an extreme-value law in clean text: lambda solves
 sum p0 exp(lambda s) = 1 and K is fitted to the clean training documents. A document's statistic is the most significant sum of
 its r best segments (Karlin-Altschul sum statistics); an isotonic fit over the training documents turns it into a score.
 
-Counts, K and the isotonic fit use the labelled documents of the training folds, at most `most_documents` of them (those
+Copies would make any of their words look toxic: of labelled documents with the same smallest shingle hash, as copies and near copies
+have, one teaches. Counts, K and the isotonic fit use the labelled documents of the training folds, at most `most_documents` of them (those
 with the smallest hash of their id), so that the labels are broadcast and no text is shuffled; what reaches the driver are the
 tokens with a share of `share` or more of the toxic counts (at most 1 / share rows) and 64 bins. Scoring is one pass
 without shuffle. Labels, lang, source and doc_id are never inputs.
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.llm.common import checkpoint, documents, fold_of, read_table
+from docfacts.llm.decontamination import with_shingles
 
 LETTERS = 5
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
@@ -120,14 +122,14 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def token_scores(counts: DataFrame, prior: float, least_z: float, share: float) -> Segments | None:
-    total = counts.agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1")).first()
+    total = counts.agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"), F.count("*").alias("tokens")).first()
     n0, n1 = total["y0"] or 0.0, total["y1"] or 0.0
     if not n0 or not n1:
         return None
     listed = counts.where((F.col("y1") >= share * n1) & (F.col("y1") >= 2)).toPandas().sort_values("token")  # at most 1 / share rows
     y0, y1 = listed["y0"].to_numpy(), listed["y1"].to_numpy()
-    alpha = prior * (y0 + y1) / (n0 + n1)
-    odds = np.log((y1 + alpha) / (n1 + prior - y1 - alpha)) - np.log((y0 + alpha) / (n0 + prior - y0 - alpha))
+    alpha, mass = 0.5 + prior * (y0 + y1) / (n0 + n1), prior + 0.5 * total["tokens"]
+    odds = np.log((y1 + alpha) / (n1 + mass - y1 - alpha)) - np.log((y0 + alpha) / (n0 + mass - y0 - alpha))
     clear = np.abs(odds) / np.sqrt(1 / (y1 + alpha) + 1 / (y0 + alpha)) >= least_z
     rest0, rest1 = max(n0 - y0[clear].sum(), 1.0), max(n1 - y1[clear].sum(), 1.0)
     scores = np.concatenate([[min(math.log(rest1 / n1) - math.log(rest0 / n0), -0.01)], odds[clear]])
@@ -153,11 +155,14 @@ def segment_batches(batches: Iterator[pa.RecordBatch], model: Segments) -> Itera
         yield b, best, lengths
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, prior: float = 2000.0, least_z: float = 3.0, share: float = 1e-5, bins: int = 64, most_documents: int = 100_000) -> Segments | float:
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, prior: float = 100.0, least_z: float = 3.0, share: float = 1e-5, bins: int = 64, most_documents: int = 100_000) -> Segments | float:
     """learn: which doc_ids may teach; at most `most_documents` do, those with the smallest hash. A plain number is the score of all documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn)
     known = checkpoint(known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents))
-    labelled = docs.join(F.broadcast(known), "doc_id").select("text", "y")
+    labelled = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+    key = F.coalesce(F.array_min("shingles"), F.col("doc_id"))
+    apart = checkpoint(with_shingles(labelled, "doc_id", "y").groupBy(key.alias("key"), "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    labelled = labelled.join(F.broadcast(apart), "doc_id").select("text", "y")  # as bounded as `known`
     model = token_scores(checkpoint(token_counts(labelled)), prior, least_z, share)
     if model is None:
         return float(known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0])
