@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -40,13 +41,13 @@ def search(rows: DataFrame, terms: list[str], limit: int | None = 50) -> DataFra
     Two passes over the postings: corpus statistics (one row), then the ranked hits; only hits are shuffled.
     """
     marked = matches(rows, terms)
-    stats = marked.agg(F.count("*").alias("n_rows"), F.avg(F.size("terms")).alias("avg_len"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
-    ranked = marked.where("hit").crossJoin(F.broadcast(stats))  # stats is one row
+    stats = marked.agg(F.count("*").alias("n_rows"), F.coalesce(F.avg(F.size("terms")), F.lit(1.0)).alias("avg_len"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
+    ranked = marked.where("hit")
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n_rows") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
+        idf = math.log(1 + (stats["n_rows"] - stats[f"df_{i}"] + 0.5) / (stats[f"df_{i}"] + 0.5))
         tf = F.col(f"tf_{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("terms") / F.col("avg_len")))
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("terms") / F.lit(max(stats["avg_len"], 1e-9))))
     best = ranked.groupBy("doc_id").agg(F.max(score).alias("rank"))
     return best.orderBy(F.col("rank").desc(), "doc_id").limit(limit) if limit else best
 
