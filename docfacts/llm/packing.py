@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,11 +27,12 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docfacts.llm.common import documents, read_table
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Characters that every Unicode version puts in the same class; texts with others go to the library whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
 
@@ -87,7 +87,7 @@ def pack(lengths: list[int], size: int, linear: float, quadratic: float) -> list
 def pack_documents(
     docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024, chunk_tokens: int = 4_000_000
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids (its tokens as little-endian uint32), doc_tokens, sequence_id, offset."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     end = np.array([end_id], "<u4").tobytes()
@@ -102,13 +102,14 @@ def pack_documents(
             nonlocal first, held
             pieces = pack([len(x) // 4 for x in ids], size, linear, quadratic)
             d, start, length, sequence, offset = (list(c) for c in zip(*pieces, strict=True))
-            crc = [zlib.crc32(memoryview(ids[i])[4 * s : 4 * (s + n)]) for i, s, n in zip(d, start, length, strict=True)]
-            columns = [[doc_ids[i] for i in d], start, length, crc, [len(ids[i]) // 4 for i in d], [first + s for s in sequence], offset]
+            parts = [ids[i][4 * s : 4 * (s + n)] for i, s, n in zip(d, start, length, strict=True)]
+            columns = [[doc_ids[i] for i in d], start, length, parts, [len(ids[i]) // 4 for i in d], [first + s for s in sequence], offset]
             first += max(sequence) + 1
             held = 0
             ids.clear()
             doc_ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in SCHEMA.split(", ")])
+            names, kinds = zip(*(c.split() for c in SCHEMA.split(", ")), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "binary" else pa.int64()) for c, k in zip(columns, kinds, strict=True)], list(names))
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -124,4 +125,6 @@ def pack_documents(
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    """The pieces with a checksum in the place of their ids."""
+    pieces = pack_documents(read_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from docfacts.llm import fingerprints, near_dedup, packing, secrets, suffix_tree, token_counts, toxicity
 from docfacts.llm.quality import op1_quality_classifier
 
@@ -55,6 +56,17 @@ def test_packing(spark, sf_dir, corpus):
         assert at <= 1024 and at & (at - 1) == 0  # full or a power of two: no padding
 
 
+def test_packed_pieces_hold_their_ids(spark, sf_dir, corpus):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for rows in (packing.pack_documents(docs).collect(), corpus_pipeline.pack(spark, docs, sf_dir).collect()):
+        ids = defaultdict(list)
+        for r in sorted(rows, key=lambda r: r["start"]):
+            assert len(r["ids"]) == 4 * r["length"]
+            ids[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+        assert ids == {d: [*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t in corpus.items()}
+
+
 def test_base_spans(spark, sf_dir, corpus):
     kinds = [(re.compile(secrets.ASSIGN, re.I | re.A), lambda m: len(m[2]) >= 12), (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
     for r in secrets.op2_secret_scan(spark, sf_dir).collect():
