@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The policy.
 TEMPLATE_SUPPORT, TEMPLATE_PRECISION, CLASS_SUPPORT, CLASS_PRECISION, TYPE_SUPPORT = 2, 1.0, 3, 0.9, 3
 SUSPEND_BELOW, LEAST_EVIDENCE, NEGATIVE_STREAK = 0.7, 5, 2
+RULES_A_BATCH = 10_000
 
 
 def effects(log: DataFrame) -> DataFrame:
@@ -22,39 +29,59 @@ def counts(effect_rows: DataFrame) -> DataFrame:
     return out.withColumn("precision", p / (p + n)).withColumn("reliability", (p + 1) / (p + n + 2))
 
 
-def next_status(status: Column, kind: Column, scope: Column, positive: Column, negative: Column, since: Column) -> Column:
-    """The status after a proof; `since`: the effects since activation, oldest first. Only promotion and suspension are automatic."""
+def folded(kind: str | None, scope: str | None, effects_in_order: Iterable[str | None]) -> tuple[str, int, int, int]:
+    """status, positive, negative, changes after a rule's proofs, oldest first. Only promotion and suspension are automatic; what is held doesn't grow."""
     type_rule, template = kind == "TEMPLATE_TYPE", scope == "TEMPLATE"
-    precision = positive / (positive + negative)
-    promoted = F.when(type_rule, (positive >= TYPE_SUPPORT) & (negative == 0)).otherwise(
-        (positive >= F.when(template, TEMPLATE_SUPPORT).otherwise(CLASS_SUPPORT)) & (precision >= F.when(template, TEMPLATE_PRECISION).otherwise(CLASS_PRECISION))
-    )
-    recent = F.slice(since, F.greatest(F.size(since) - NEGATIVE_STREAK + 1, F.lit(1)), F.lit(NEGATIVE_STREAK))
-    streak = (F.size(since) >= NEGATIVE_STREAK) & F.forall(recent, lambda e: e == "NEGATIVE")
-    confirmed = F.size(F.filter(since, lambda e: e == "POSITIVE"))
-    imprecise = (F.size(since) >= LEAST_EVIDENCE) & (confirmed / F.size(since) < SUSPEND_BELOW)
-    suspended = F.when(type_rule, F.array_contains(since, "NEGATIVE")).otherwise(streak | imprecise)
-    return F.when((status == "CANDIDATE") & promoted, "ACTIVE").when((status == "ACTIVE") & suspended, "SUSPENDED").otherwise(status)
+    support, least = (TEMPLATE_SUPPORT, TEMPLATE_PRECISION) if template else (CLASS_SUPPORT, CLASS_PRECISION)
+    status, positive, negative, changes = "CANDIDATE", 0, 0, 0
+    since, confirmed, denied, streak = 0, 0, 0, 0  # proofs since activation; streak: negative ones at their end
+    for effect in effects_in_order:
+        yes, no = effect == "POSITIVE", effect == "NEGATIVE"
+        positive += yes
+        negative += no
+        if status == "CANDIDATE":
+            if positive >= TYPE_SUPPORT and negative == 0 if type_rule else positive >= support and positive / (positive + negative) >= least:
+                status, changes = "ACTIVE", changes + 1
+        elif status == "ACTIVE":
+            since, confirmed, denied, streak = since + 1, confirmed + yes, denied + no, streak + 1 if no else 0
+            if denied > 0 if type_rule else streak >= NEGATIVE_STREAK or (since >= LEAST_EVIDENCE and confirmed / since < SUSPEND_BELOW):
+                status, changes = "SUSPENDED", changes + 1
+    return status, positive, negative, changes
 
 
 def rule_states(log: DataFrame) -> DataFrame:
-    """rule_id, status, positive, negative, promotions: the fold of each rule's proofs in order of (at, seq).
+    """rule_id, status, positive, negative, changes: the fold of each rule's proofs in order of (at, seq).
 
-    log: rule_id, kind, scope, effect, at, seq. One rule's proofs are one array; a rule collects one proof a document.
+    log: rule_id, kind, scope, effect, at, seq. A rule's proofs are sorted on disk where needed and read one after the
+    other, so that a rule may have any number of them; one task reads all of a rule's.
     """
-    item = F.struct("at", "seq", "effect")
-    rows = log.groupBy("rule_id").agg(F.first("kind").alias("kind"), F.first("scope").alias("scope"), F.array_sort(F.collect_list(item)).alias("proofs"))
-    start = F.struct(F.lit("CANDIDATE").alias("status"), F.lit(0).alias("positive"), F.lit(0).alias("negative"), F.array().cast("array<string>").alias("since"), F.lit(0).alias("changes"))
-
-    def step(s: Column, e: Column) -> Column:
-        positive = s["positive"] + F.when(e["effect"] == "POSITIVE", 1).otherwise(0)
-        negative = s["negative"] + F.when(e["effect"] == "NEGATIVE", 1).otherwise(0)
-        since = F.when(s["status"] == "ACTIVE", F.concat(s["since"], F.array(e["effect"]))).otherwise(s["since"])
-        status = next_status(s["status"], F.col("kind"), F.col("scope"), positive, negative, since)
-        return F.struct(status.alias("status"), positive.alias("positive"), negative.alias("negative"), since.alias("since"), (s["changes"] + F.when(status != s["status"], 1).otherwise(0)).alias("changes"))
-
-    folded = rows.select("rule_id", F.aggregate("proofs", start, step).alias("s"))
-    return folded.select("rule_id", "s.status", "s.positive", "s.negative", "s.changes")
+    rule = dict(log.dtypes)["rule_id"]
+    ordered = log.select("rule_id", "kind", "scope", "effect", "at", "seq").repartition("rule_id").sortWithinPartitions("rule_id", *[F.col(c).asc_nulls_last() for c in ("at", "seq", "effect")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            rules, states = zip(*out, strict=True)
+            columns = [pa.array(c, t) for c, t in zip(zip(*states, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rules, kind_of_rule), *columns], ["rule_id", "status", "positive", "negative", "changes"])
+
+        def proofs() -> Iterator[tuple]:
+            nonlocal kind_of_rule
+            for b in batches:
+                kind_of_rule = b.schema.field("rule_id").type
+                yield from zip(*[b.column(c).to_pylist() for c in ("rule_id", "kind", "scope", "effect")], strict=True)
+
+        out, kind_of_rule = [], None
+        for rule_id, rows in groupby(proofs(), itemgetter(0)):
+            first = next(rows)
+            out.append((rule_id, folded(first[1], first[2], chain((first[3],), (r[3] for r in rows)))))
+            if len(out) >= RULES_A_BATCH:
+                yield emit()
+        if out:
+            yield emit()
+
+    # the sort's other columns aren't sent to Python
+    return ordered.select("rule_id", "kind", "scope", "effect").mapInArrow(run, f"rule_id {rule}, status string, positive int, negative int, changes int")
 
 
 def since_active(effect_rows: DataFrame, activations: DataFrame) -> DataFrame:
@@ -85,5 +112,16 @@ def rollback(rules: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def snapshot_fingerprint(rules: DataFrame) -> DataFrame:
-    """Sixteen hex digits over the sorted keys of the active rules; rules are a catalogue, small by nature."""
-    return rules.where("status = 'ACTIVE'").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("rule_key")), "\n"), 256), 1, 16).alias("fingerprint"))
+    """Sixteen hex digits over the sorted keys of the active rules, hashed one after the other: the keys are never held at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, between = hashlib.sha256(), b""
+        for b in batches:
+            for key in b.column(0).to_pylist():
+                digest.update(between + key.encode())
+                between = b"\n"
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:16]])], ["fingerprint"])
+
+    keys = rules.where("status = 'ACTIVE' and rule_key is not null").select("rule_key").repartition(1).sortWithinPartitions("rule_key")
+    none = hashlib.sha256().hexdigest()[:16]  # without a key there may be no task
+    return keys.mapInArrow(run, "fingerprint string").agg(F.coalesce(F.max("fingerprint"), F.lit(none)).alias("fingerprint"))

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docfacts.plans import catalogue
 
@@ -69,6 +70,39 @@ def test_rule_status(spark, sf_dir):
     assert got == want
 
 
+def test_rule_state_holds_no_proofs(spark):
+    """200,000 proofs of one rule, in time and without an array of them; the fold of all rules is that of the plain loop."""
+    from docfacts.operators import learning
+
+    n = F.col("id")
+    log = spark.range(200_000).select(
+        F.when(n % 50 == 0, n % 7).otherwise(100).alias("rule_id"), F.lit("FIELD_ANCHOR").alias("kind"), F.lit("CLASS").alias("scope"),
+        F.when((n % 3 == 0) & (n >= 150_000), "NEGATIVE").otherwise("POSITIVE").alias("effect"), (200_000 - n).alias("at"), n.alias("seq"),
+    )
+    states = learning.rule_states(log)
+    assert "collect_list" not in states._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in sorted(log.collect(), key=lambda r: (r["at"], r["seq"])):
+        want.setdefault(r["rule_id"], []).append(r["effect"])
+    short = {k: v for k, v in want.items() if k != 100}
+    got = {r["rule_id"]: (r["status"], r["positive"], r["negative"]) for r in states.collect()}
+    assert {k: got[k] for k in short} == {k: fold("FIELD_ANCHOR", "CLASS", v) for k, v in short.items()}
+    assert got[100][1:] == (want[100].count("POSITIVE"), want[100].count("NEGATIVE")) and len(got) == 8
+
+
+def test_snapshot_fingerprint(spark):
+    import hashlib
+
+    from docfacts.operators import learning
+
+    keys = [f"k{i}é" for i in range(1000)]
+    rules = spark.createDataFrame([("ACTIVE", k) for k in keys] + [("CANDIDATE", "x"), ("ACTIVE", None)], "status string, rule_key string")
+    for rows, want in ((rules, "\n".join(sorted(keys))), (rules.limit(0), "")):
+        out = learning.snapshot_fingerprint(rows)
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert [r["fingerprint"] for r in out.collect()] == [hashlib.sha256(want.encode()).hexdigest()[:16]]
+
+
 def test_snippets_mark_matches(spark, sf_dir):
     rows = catalogue.QUERIES["search_snippets"](spark, sf_dir).collect()
     assert rows and all("[the" in r["snippet"] and len(r["snippet"].split()) <= 12 for r in rows)
