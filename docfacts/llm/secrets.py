@@ -2,12 +2,12 @@
 
 The models are first-order: transition probabilities between the characters of [A-Za-z0-9+/_=.-] in random strings and in
 ordinary identifiers, smoothed by the characters' own frequencies (add-one). They are learned from labelled samples (value, is_secret); by default these
-come from a bounded, reproducible sample of documents: what the fixed patterns match are secrets, other words of
-eight or more letters, digits and marks are identifiers. A candidate is a maximal run of `min_length` or more such
-characters outside the pattern spans; it is a secret if its mean log-likelihood ratio per character exceeds `threshold`.
+come from all documents: what the fixed patterns match are secrets, other words of
+eight or more letters, digits and marks are identifiers. A candidate is what the pattern spans leave of a maximal run of such
+characters, in pieces of `min_length` or more; it is a secret if its mean log-likelihood ratio per character exceeds `threshold`.
 
-Main path: DataFrame functions alone, one pass, no shuffle but for the two small tables of transition counts, which have at
-most 2 * 68 * 68 rows whatever the input. Regular expressions yield matches and the pieces between; positions are sums
+Main path: DataFrame functions alone, two passes. The first counts equal samples by a shuffle, then their transitions, which have
+at most 2 * 68 * 68 rows whatever the input; the second shuffles nothing. Regular expressions yield matches and the pieces between; positions are sums
 of their lengths.
 
 Nulls: a null text is empty, a null doc_id stays null. Repeated rows are scanned each. Extra columns are ignored. Positions
@@ -69,21 +69,20 @@ def slots(value: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: code(i) * SYMBOLS + code(i + 1) + 1)
 
 
-def labelled_samples(docs: DataFrame, most: int) -> DataFrame:
-    """(value, is_secret) of at most `most` documents, those with the smallest hash of their id."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("text")
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """(value, is_secret) of all documents."""
     secrets = F.concat(F.regexp_extract_all("text", F.lit(ACCESS), 0), F.regexp_extract_all("text", F.lit(HEX), 0), F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), 2), lambda v: F.length(v) >= 12))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = F.regexp_extract_all(plain, F.lit(RUN % 8), 0)
-    values = lambda a, label: rows.select(F.explode(a).alias("value"), F.lit(label).alias("is_secret"))
-    return values(secrets, True).unionByName(values(ordinary, False))
+    labelled = lambda a, label: F.transform(a, lambda v: F.struct(v.alias("value"), F.lit(label).alias("is_secret")))
+    return docs.select(F.explode(F.concat(labelled(secrets, True), labelled(ordinary, False))).alias("x")).select("x.value", "x.is_secret")
 
 
 def ratio_table(samples: DataFrame) -> list[float]:
     """log P(b|a) among secrets minus that among identifiers, for all transitions a, b; at most 2 * SYMBOLS**2 rows reach the driver."""
-    pairs = samples.where("length(value) > 1").select("is_secret", F.explode(slots(F.col("value"))).alias("slot"))
-    n = {(r["is_secret"], r["slot"]): r["count"] for r in pairs.groupBy("is_secret", "slot").count().collect()}
+    values = samples.where("length(value) > 1").groupBy("is_secret", "value").count()
+    pairs = values.select("is_secret", "count", F.explode(slots(F.col("value"))).alias("slot"))
+    n = {(r["is_secret"], r["slot"]): r["n"] for r in pairs.groupBy("is_secret", "slot").agg(F.sum("count").alias("n")).collect()}
 
     def logs(label: bool) -> list[float]:
         rows = [[n.get((label, a * SYMBOLS + b + 1), 0) for b in range(SYMBOLS)] for a in range(SYMBOLS)]
@@ -94,18 +93,33 @@ def ratio_table(samples: DataFrame) -> list[float]:
     return [round(r - i, 6) for r, i in zip(logs(True), logs(False), strict=True)]
 
 
-def find_secrets(docs: DataFrame, samples: DataFrame | None = None, min_length: int = 20, threshold: float = 0.5, sample_documents: int = 2000) -> DataFrame:
+def uncovered(run: Column, base: Column) -> Column:
+    """The parts of a run (s, its span, and v, its characters) that no base span covers, as such runs."""
+    begin, end = run["s"]["start"], run["s"]["end"]
+
+    def piece(lo: Column, hi: Column) -> Column:
+        span = F.struct(lo.alias("start"), hi.alias("end"), run["s"]["kind"].alias("kind"))
+        return F.array(F.struct(span.alias("s"), F.substring(run["v"], lo - begin + 1, F.greatest(hi - lo, F.lit(0))).alias("v")))
+
+    met = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > begin))
+    start = F.struct(begin.alias("at"), F.slice(piece(begin, end), 1, 0).alias("out"))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+    return F.when(F.size(met) == 0, F.array(run)).otherwise(F.aggregate(met, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], end))))
+
+
+def find_secrets(docs: DataFrame, samples: DataFrame | None = None, min_length: int = 20, threshold: float = 0.5) -> DataFrame:
     """doc_id, base (spans of the patterns) and added (those of the models alone), each by start, then kind."""
     rows = documents(docs)
-    table = F.array(*[F.lit(x) for x in ratio_table(samples if samples is not None else labelled_samples(rows, sample_documents))])
+    table = F.array(*[F.lit(x) for x in ratio_table(samples if samples is not None else labelled_samples(rows))])
 
     def score(value: Column) -> Column:
         return F.aggregate(slots(value), F.lit(0.0), lambda acc, slot: acc + F.get(table, slot - 1)) / (F.length(value) - 1)
 
     def likely(text: Column, base: Column) -> Column:
         runs = F.zip_with(spans_of(text, RUN % min_length, 3), F.regexp_extract_all(text, F.lit(RUN % min_length), 0), lambda s, v: F.struct(s.alias("s"), v.alias("v")))
-        free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["s"]["end"]) & (b["end"] > r["s"]["start"])))
-        return F.transform(F.filter(free, lambda r: score(r["v"]) > threshold), lambda r: r["s"])
+        pieces = F.flatten(F.transform(runs, lambda r: uncovered(r, base)))
+        found = F.filter(pieces, lambda r: F.length(r["v"]) >= min_length)
+        return F.transform(F.filter(found, lambda r: score(r["v"]) > threshold), lambda r: r["s"])
 
     both = let(pattern_spans(F.col("text")), lambda base: F.struct(base.alias("base"), likely(F.col("text"), base).alias("added")))
     return rows.select("doc_id", both.alias("s")).select("doc_id", "s.base", "s.added")

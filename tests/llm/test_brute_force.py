@@ -97,6 +97,20 @@ def test_fingerprints(spark, sf_dir, corpus):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def test_secret_models_learn_from_all_documents(spark):
+    docs = spark.createDataFrame([(i, f"identifier{i} ordinary") for i in range(2500)], "doc_id long, text string")
+    assert secrets.labelled_samples(docs).count() == 5000
+
+
+def test_rest_of_a_run_around_a_base_span_is_scored(spark):
+    r = random.Random(5)
+    rest, other = ("".join(r.choice(string.ascii_uppercase) for _ in range(24)) for _ in range(2))
+    docs = spark.createDataFrame([(1, f"x {rest}0123456789abcdef{other} y"), (2, f"x {rest}0123456789abcdefSHORT y"), (3, f"x {rest} y")], "doc_id long, text string")
+    samples = spark.createDataFrame([("".join(r.choice(string.ascii_uppercase) for _ in range(400)), True), ("abcabcabc" * 9, False)], "value string, is_secret boolean")
+    added = {x["doc_id"]: [(s["start"], s["end"]) for s in x["added"]] for x in secrets.find_secrets(docs, samples).collect()}
+    assert added == {1: [(2, 26), (42, 66)], 2: [(2, 26)], 3: [(2, 26)]}
+
+
 def test_equal_texts_have_equal_fingerprints(edges):
     rows = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint_pairs(edges).collect()}
     assert rows[4] == rows[5] != rows[6] and rows[1] == rows[8] == ""
