@@ -5,13 +5,14 @@ permutation is i plus a uniform number, and a component keeps its smallest value
 elements' i-th components before any i + 1st), so a document's signature is final as soon as every component has a value
 of the layers done: most documents stop after one or two of them.
 
-1. Rows of equal word sequences form a class; its smallest doc_id stands for it.
-2. Signatures are cut into bands. Representatives that share a band are linked to the smallest of the bucket (a star, never
+1. Rows of equal word sequences form a class, numbered by the smallest of its rows.
+2. Signatures are cut into bands. Classes that share a band are linked to the smallest of the bucket (a star, never
    all pairs), and the stars' connected components are the candidate groups.
-3. Each candidate group is verified on full shingle sets. Groups of up to `block` documents, many a task, are done in one piece; a larger
-   group is dealt out as pairs of blocks, so no task holds more than two blocks. A block emits the links that join
-   its components, not all pairs.
-4. Connected components of the verified links, then of the classes, give component_id.
+3. Each candidate group is verified on full shingle sets. Groups of up to `block` documents and `block_bytes` of text, many a task, are
+   done in one piece; a larger group is dealt out as pairs of blocks, so no task holds more than two blocks. A block emits the links that
+   join its components, not all pairs. A group that hangs together like a chain, so that its buckets have fewer pairs
+   than the whole, is verified bucket by bucket instead: its cost is that of its buckets.
+4. Connected components of the verified links, and of classes that share a doc_id, give component_id.
 
 With 26 bands of 6 components, a pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**26 = 5e-6, and
 a group then still holds it together by its other members.
@@ -19,8 +20,9 @@ a group then still holds it together by its other members.
 Links and labels stay in Spark; connected components run by alternating large and small stars, each round checkpointed.
 
 Nulls: a null text is empty; empty texts and those without words have no shingles, link with nothing and are kept. Rows with a null
-doc_id are compared by text alone and get a null component_id unless linked to others. Repeated rows of an id get the same
-component. Texts of one to four words are one shingle. Extra columns are ignored. An empty table gives no rows.
+doc_id are compared like others, get the smallest doc_id that they are linked to (null without one) and are always kept. All rows of an id
+are one document: links of any of its texts are the document's, and all its rows get the same component. Texts of one to four words are
+one shingle. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,25 +84,29 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest of the word sequence, n_shingles, bands of each row; no bands without shingles."""
+    """row (a number of its own), doc_id, mark (hash of the text), size (bytes), digest of the word sequence, n_shingles, bands of each row; no bands without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(300_000)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):  # bounds the arrays
-                part = [words_of(t) for t in b.column("text").slice(lo, 256).to_pylist()]
+        hashes, row = WordHashes(300_000), TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):  # bounds the arrays
+                b = whole.slice(lo, 256)
+                part = [words_of(t) for t in b.column("text").to_pylist()]
                 sets = [shingle_hashes(t, hashes) for t in part]
                 bands = band_hashes(super_minhash(sets, n_bands * rows), n_bands, rows).view(np.int64)
                 lengths = [len(s) for s in sets]
                 digests = [xxhash.xxh3_128_digest(b" ".join(t)) for t in part]
                 offsets = np.cumsum([0, *[n_bands if n else 0 for n in lengths]]).astype(np.int32)
                 kept = bands[np.array(lengths, np.int64) > 0].ravel()
+                own = [pa.array(np.arange(row, row + len(part))), *[b.column(c) for c in ("doc_id", "mark", "size")]]
+                row += len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, len(part)), pa.array(digests, pa.binary()), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept))],
-                    ["doc_id", "digest", "n_shingles", "bands"],
+                    [*own, pa.array(digests, pa.binary()), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept))],
+                    ["row", "doc_id", "mark", "size", "digest", "n_shingles", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.octet_length("text").cast("long").alias("size"))
+    return marked.mapInArrow(run, "row long, doc_id long, mark long, size long, digest binary, n_shingles long, bands array<long>")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -160,22 +167,21 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percen
             yield i, j
 
 
-def verified_links(members: DataFrame, percent: int, block: int, parts: int) -> DataFrame:
-    """Links (a, b) that connect what is similar within each candidate group; members are (component, n, id, text); small groups are dealt to `parts` keys."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    sized = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def verified_links(members: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) that connect what is similar within each group; members are (grp, blocks, cid, text); groups of one block are dealt to `parts` keys."""
+    sized = members.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    all_pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    all_pairs = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     dealt = sized.withColumn("pair", F.explode(F.when(F.col("blocks") == 1, one).otherwise(all_pairs)))
 
-    small = F.col("blocks") == 1
-    key = F.when(small, F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.pmod(F.xxhash64("component"), F.lit(parts).cast("long")).alias("c"))).otherwise(F.struct("pair.i", "pair.j", F.col("component").alias("c")))
+    shared = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.pmod(F.xxhash64("grp"), F.lit(parts).cast("long")).alias("c"))
+    key = F.when(F.col("blocks") == 1, shared).otherwise(F.struct("pair.i", "pair.j", F.xxhash64("grp").alias("c")))
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         hashes, found = WordHashes(), []
-        for _, group in rows.groupby("component", sort=False):
-            group = group.sort_values("id")
-            ids, own = group["id"].tolist(), group["own"].to_numpy()
+        for _, group in rows.groupby(["chained", "g"], sort=False):
+            group = group.sort_values("cid")
+            ids, own = group["cid"].tolist(), group["own"].to_numpy()
             sets = [shingle_hashes(words_of(t), hashes) for t in group["text"]]
             parent = list(range(len(ids)))
             i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
@@ -187,26 +193,54 @@ def verified_links(members: DataFrame, percent: int, block: int, parts: int) ->
             found += [(ids[x], ids[y]) for x, y in pairs if unite(parent, x, y)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    rows = dealt.select(key.alias("key"), "component", "id", "own", "text", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    rows = dealt.select(key.alias("key"), "grp.chained", "grp.g", "cid", "own", "text", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
     return rows.groupBy("key").applyInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS, band_rows: int = ROWS, block: int = 1500, broadcast_rows: int = 1_000_000) -> DataFrame:
+def candidate_groups(classes: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """cid, grp (chained, g), blocks: the groups in which each class is verified, and the blocks that each group is dealt to.
+
+    g is a component of the bands' stars or, for a chained one, each of its buckets.
+    """
+    bands = classes.select("cid", "size", F.explode("bands").alias("band"))
+    buckets = bands.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1")
+    groups = connected_components(bands.join(buckets.select("band", "hub"), "band").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    labels = checkpoint(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()))
+    whole = classes.select("cid", "size").join(labels, F.col("cid") == F.col("id")).groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    large = checkpoint(whole.where(F.col("n") > block))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes, F.lit(1)))
+    chained = buckets.join(labels, F.col("hub") == F.col("id")).groupBy("component").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs")).join(large, "component")
+    chained = checkpoint(chained.where(F.col("pairs") < F.col("n").cast("double") * F.col("n")).select("component"))
+    apart = labels.join(whole, "component").join(chained, "component", "left_anti")
+    grouped = apart.select(F.col("id").alias("cid"), F.struct(F.lit(False).alias("chained"), F.col("component").alias("g")).alias("grp"), blocks.alias("blocks"))
+    if chained.isEmpty():
+        return grouped
+    links = bands.join(buckets, "band").join(labels, F.col("cid") == F.col("id")).join(chained, "component", "left_semi")
+    return grouped.unionByName(links.withColumn("n", F.col("m")).select("cid", F.struct(F.lit(True).alias("chained"), F.col("band").alias("g")).alias("grp"), blocks.alias("blocks")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS, band_rows: int = ROWS, block: int = 1500, block_bytes: int = 32_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; n_bands * band_rows is 256 at most."""
     rows = documents(docs)
     marks = checkpoint(signed(rows, n_bands, band_rows))
-    classes = marks.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).where("id is not null")
-    bands = classes.select("id", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    groups = connected_components(bands.join(buckets, "band").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    labels = groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct())
-    sized = checkpoint(labels.join(labels.groupBy("component").agg(F.count("*").alias("n")), "component"))
-    in_groups = sized.count()
-    sized = F.broadcast(sized) if in_groups <= broadcast_rows else sized
-    members = rows.join(sized, rows["doc_id"] == sized["id"]).select("component", "n", "id", "text").dropDuplicates(["id"])
-    linked = connected_components(verified_links(members, percent, block, 1 + 2 * in_groups // block))
-    by_digest = classes.select("digest", "id").join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = marks.join(by_digest, "digest", "left")
+    classes = marks.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.min(F.struct("row", "doc_id", "mark", "size")).alias("rep"), F.first("bands").alias("bands"))
+    classes = checkpoint(classes.select("digest", "low", F.col("rep.row").alias("cid"), F.col("rep.doc_id").alias("id"), "rep.mark", "rep.size", "bands"))
+    grouped = checkpoint(candidate_groups(classes, block, block_bytes).join(classes.select("cid", "id", "mark", "size"), "cid"))
+    in_groups, in_bytes = grouped.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    wanted = F.broadcast(grouped.drop("size")) if in_groups <= broadcast_rows else grouped.drop("size")
+    members = rows.withColumn("own_mark", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")))
+    members = members.select("grp", "blocks", "cid", "text").dropDuplicates(["grp", "cid"])
+    links = verified_links(members, percent, 1 + 2 * max(in_groups // block, in_bytes // block_bytes))
+
+    named = marks.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest").distinct()
+    several = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("least")).where("n > 1").select("doc_id", "least")
+    numbers = classes.select("digest", "cid")
+    same_id = named.join(checkpoint(several), "doc_id").join(numbers, "digest").join(numbers.toDF("least", "b"), "least").select(F.col("cid").alias("a"), "b")
+
+    linked = connected_components(links.unionByName(same_id))
+    groups = checkpoint(classes.select("digest", "cid", "low").join(linked, F.col("cid") == F.col("id"), "left").select("digest", "low", F.coalesce("component", "cid").alias("g")))
+    lowest = groups.groupBy("g").agg(F.min("low").alias("component_id"))
+    out = marks.select("doc_id", "digest", "n_shingles").join(groups.join(lowest, "g").select("digest", "component_id"), "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -11,12 +11,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from docfacts.llm import fingerprints, near_dedup, packing, secrets, suffix_tree, token_counts, toxicity
 from docfacts.llm.quality import op1_quality_classifier
 
+from .conftest import prose
+
 
 @pytest.fixture(scope="module")
 def corpus(spark, sf_dir):
@@ -143,6 +146,30 @@ def test_near_duplicates(spark, sf_dir, corpus, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
 
 
+def test_all_texts_of_an_id_count(spark):
+    a, b = prose(21, 300), prose(22, 300)
+    near = lambda t: t.replace(t.split()[9], "other", 1)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, prose(23, 300)), (None, near(b))]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in out) == [(0, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_a_chained_group_is_verified_by_buckets(spark, monkeypatch):
+    """Windows over one long text: neighbours are near-duplicates, others share less and less."""
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(32)], "doc_id long, text string")
+    want = components({i: shingles(t) for i, t in docs.collect()}, 85)
+    chained, groups_of = [], near_dedup.candidate_groups
+
+    def spy(*args):
+        out = near_dedup.checkpoint(groups_of(*args))
+        chained.extend(r["chained"] for r in out.select("grp.chained").distinct().collect())
+        return out
+
+    monkeypatch.setattr(near_dedup, "candidate_groups", spy)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, block=10).collect()} == want and chained == [True]
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     shared, a, b = (rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) for n in (600, 200, 200))
