@@ -1,12 +1,12 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of 64 words, over its whole text. A passage is described by its share of character
-classes, word shapes, repetition and variety; an encoder maps that to a representation, h = tanh(W x + b). Gated attention,
+classes, word shapes, repetition and variety, and the share of its words in each of `WORD_BUCKETS` buckets of a hash; an encoder maps that to a representation, h = tanh(W x + b). Gated attention,
 a = softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages, and the weighted representation is scored by a logistic
 unit. Encoder, attention and scorer are learned together from document labels alone, by Adam.
 
 The model is fitted on at most `most_documents` labelled documents (those with the smallest hash of their id), of which
-only passage features reach the driver: at most `most_passages` of one document, evenly spread. Scoring uses all passages of
+the features of all passages reach the driver. Scoring uses all passages of
 all documents, in one pass without shuffle. Labels, lang, source and doc_id are never inputs.
 
 Nulls: a null text is empty; a text without words is one passage of zeros, and is scored. Null or unmatched labels teach
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ MOST_WORDS = 150_000  # that a worker remembers
 #: Bytes of each class; all other bytes are one more.
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(128, 256)), b".,;:", b"!?", b"#$%&*@^~", b"|<>[]{}\\/=+_", b"\"'()-"]
 WORD_FEATURES = len(CLASSES) + 4
-FEATURES = WORD_FEATURES + 4
+WORD_BUCKETS = 32
+FEATURES = WORD_FEATURES + 4 + WORD_BUCKETS
+MARKS = b"".join(CLASSES[4:])
 CLASS_OF = np.full(256, len(CLASSES), np.int64)
 for _i, _c in enumerate(CLASSES):
     CLASS_OF[list(_c)] = _i
@@ -43,6 +46,7 @@ class WordFeatures(dict):
         super().__init__()
         self.new: list[bytes] = []
         self.table = np.zeros((0, WORD_FEATURES), np.float32)
+        self.bucket = np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         i = self[word] = len(self)
@@ -60,6 +64,8 @@ class WordFeatures(dict):
             ends = np.array([w[-2:-1] == w[-1:] and not w[-1:].isalnum() for w in self.new])
             own = np.column_stack([counts[:, : len(CLASSES)], lengths, (counts[:, 1] > 1) & (counts[:, 0] == 0), ends, letters == 0])
             self.table = np.concatenate([self.table, own.astype(np.float32)])
+            buckets = [xxhash.xxh32_intdigest(w.lower().strip(MARKS)) % WORD_BUCKETS for w in self.new]
+            self.bucket = np.concatenate([self.bucket, np.array(buckets, np.int64)])
             self.new.clear()
         return self.table
 
@@ -90,6 +96,8 @@ def passages(texts: list[str], words: WordFeatures) -> tuple[np.ndarray, np.ndar
         out[present, WORD_FEATURES + 1] = distinct / n
         out[present, WORD_FEATURES + 2] = np.log1p(n) / np.log1p(PASSAGE_WORDS)
         out[present, WORD_FEATURES + 3] = 1
+        spread = np.bincount(bag * WORD_BUCKETS + words.bucket[index], minlength=total * WORD_BUCKETS).reshape(total, WORD_BUCKETS)
+        out[present, WORD_FEATURES + 4 :] = spread[present] / n[:, None]
     return out, bags
 
 
@@ -154,14 +162,14 @@ def passage_batches(batches: Iterator[pa.RecordBatch], use: Callable[[pa.RecordB
             yield use(b, *passages([t or "" for t in b.column("text").to_pylist()], words))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most_documents: int = 4000, most_passages: int = 64) -> AttentionModel | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most_documents: int = 4000) -> AttentionModel | None:
     """learn: which doc_ids may teach."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & learn)
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def use(b: pa.RecordBatch, x: np.ndarray, bags: np.ndarray) -> pa.RecordBatch:
-        parts = [p[np.unique(np.linspace(0, len(p) - 1, most_passages).astype(int))] if len(p) > most_passages else p for p in np.split(x, np.cumsum(bags)[:-1])]
+        parts = np.split(x, np.cumsum(bags)[:-1])
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())], ["doc_id", "y", "x"])
 
     got = rows.mapInArrow(lambda batches: passage_batches(batches, use), "doc_id long, y double, x binary").toPandas().sort_values(["doc_id", "x"])
