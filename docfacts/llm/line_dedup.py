@@ -6,12 +6,14 @@ those, get an exact distinct count. Boilerplate lines are removed from all texts
 lowest doc_id (and line) stays, so that no content goes altogether.
 
 Main path: DataFrame functions alone. Sketches, not site lists, are shuffled, so a line that every document has costs one
-small row a task. What is to be removed is joined by doc_id. The set of boilerplate lines is broadcast if it has at most
-`broadcast_rows` rows and joined by shuffle else.
+small row a task. What is to be removed, as line numbers, is joined by doc_id; a text's lines are kept by a set difference of numbers, linear in
+its length. The set of boilerplate lines is broadcast if it has at most `broadcast_rows` rows and joined by shuffle else, each line
+in `SALTS` copies, so that a line of all documents is spread over as many tasks.
 
 Nulls: a null text is empty, a null site is a site of its own. Rows with a null doc_id are counted, and stay as they are.
 Lines of fewer than `min_words` words are left alone. Repeated rows: each counts, all rows of an id are cleaned alike.
-A text that is boilerplate throughout becomes empty; its row stays. Other columns pass through.
+A text that is boilerplate throughout becomes empty; its row stays. Other columns pass through, whatever their names; only text, n_lines and
+n_removed are set.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import checkpoint, let, read_table
+from docfacts.llm.common import checkpoint, read_table
+
+SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -54,21 +58,22 @@ def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = 5,
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 4, keep_first: bool = True, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The table with boilerplate lines removed from text, and n_lines, n_removed."""
     common = checkpoint(boilerplate_lines(docs, site, min_sites, min_words))
-    common = F.broadcast(common) if common.count() <= broadcast_rows else common
-    hits = lines_of(docs, site, min_words).join(common, "key")
-    kept_at = F.when((F.col("doc_id") == F.col("first.doc_id")) & F.lit(keep_first), F.col("first.pos")).otherwise(F.lit(-1))
-    removal = hits.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("key", kept_at.alias("kept_at"))).alias("_removal"))
-    joined = docs.join(removal.hint("shuffle_hash"), docs["doc_id"] == F.col("_id"), "left").withColumn("_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
-
-    def stays(line: Column, pos: Column) -> Column:
-        gone = let(line_key(line), lambda key: F.exists("_removal", lambda r: (r["key"] == key) & (r["kept_at"] != pos)))
-        return ~(counted_line(line, min_words) & gone)
-
-    left = F.when(F.col("_removal").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = joined.withColumn("_left", left)
-    new = F.when(F.col("_removal").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    out = out.withColumn("text", new).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_removed", (F.size("_lines") - F.size("_left")).cast("long"))
-    return out.drop("_id", "_removal", "_lines", "_left")
+    lines = lines_of(docs, site, min_words).where("doc_id is not null")
+    if common.count() <= broadcast_rows:
+        hits = lines.join(F.broadcast(common), "key")
+    else:
+        salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    stays = F.lit(keep_first) & (F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
+    removal = hits.where(~F.coalesce(stays, F.lit(False))).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("pos").alias("gone"))
+
+    rows = docs.select(F.struct("*").alias("doc"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
+    joined = rows.join(removal.hint("shuffle_hash"), F.col("doc.doc_id") == F.col("id"), "left")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.transform(numbers, lambda i: F.get("lines", i)), "\n"))
+    new = {"text": text, "n_lines": F.size("lines").cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    kept = [new.pop(c).alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*kept, *[value.alias(c) for c, value in new.items()])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
