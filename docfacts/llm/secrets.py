@@ -3,12 +3,12 @@
 The models are first-order: transition probabilities between the characters of [A-Za-z0-9+/_=.-] in random strings and in
 ordinary identifiers, smoothed by the characters' own frequencies (add-one). They are learned from labelled samples (value, is_secret); by default these
 come from all documents: what the fixed patterns match are secrets, other words of
-eight or more letters, digits and marks are identifiers. A candidate is what the pattern spans leave of a maximal run of such
-characters, in pieces of `min_length` or more; it is a secret if its mean log-likelihood ratio per character exceeds `threshold`.
+eight or more letters, digits and marks are identifiers. A candidate is a maximal run of such characters, of `min_length` or more, in what is
+left when pattern spans are blanked out, kind by kind; it is a secret if its mean log-likelihood ratio per character exceeds `threshold`.
 
 Main path: DataFrame functions alone, two passes. The first counts equal samples by a shuffle, then their transitions, which have
-at most 2 * 68 * 68 rows whatever the input; the second shuffles nothing. Regular expressions yield matches and the pieces between; positions are sums
-of their lengths.
+at most 2 * 68 * 68 rows whatever the input; the second shuffles nothing. Regular expressions yield matches and the pieces between; positions are running sums
+of their lengths, taken in chunks, so that a text with very many matches takes time of about its length.
 
 Nulls: a null text is empty, a null doc_id stays null. Repeated rows are scanned each. Extra columns are ignored. Positions
 count code points, ends are exclusive. Without samples both models are uniform and nothing is added.
@@ -33,31 +33,56 @@ SYMBOLS = len(ALPHABET)
 SMOOTHING = 20  # weight of a character's own frequency in its transition probabilities
 RUN = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{%d,}+"
 SPAN = "array<struct<start:int,end:int,kind:int>>"
+CHUNK = 400  # of running sums
+LEAST_VALUE = 12  # characters of an assigned value
+
+
+def folded_sums(x: Column, base: Column) -> Column:
+    """base plus the running sums of an array; a fold copies what it has at every step."""
+    start = F.struct(base.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
+    return F.aggregate(x, start, step, lambda acc: acc["out"])
+
+
+def running_sums(x: Column) -> Column:
+    """Running sums of an array of ints: folds within chunks of CHUNK, then of the chunks' sums."""
+
+    def chunked(x: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK)))
+
+        def placed(parts: Column) -> Column:
+            ends = folded_sums(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, b: a + b)), F.lit(0))
+            return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: folded_sums(p, F.when(i == 0, 0).otherwise(F.get(e, i - 1))))))
+
+        return let(chunks, placed)
+
+    return let(x, lambda x: F.when(F.size(x) <= CHUNK, folded_sums(x, F.lit(0))).otherwise(chunked(x)))
 
 
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """(start, end, kind) of all matches: they alternate with the pieces that split() leaves."""
 
     def positions(matches: Column) -> Column:
-        lengths = F.zip_with(F.split(text, pattern, -1), matches, lambda piece, m: F.struct(F.length(piece).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("n")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+        pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda piece, m: F.struct(F.length(piece).alias("gap"), F.length(m).alias("n")))
+        whole = F.filter(pieces, lambda x: x["n"].isNotNull())  # what follows the last match isn't needed
+        ends = let(whole, lambda w: F.zip_with(running_sums(F.transform(w, lambda x: x["gap"] + x["n"])), w, lambda end, x: F.struct((end - x["n"]).alias("start"), end.alias("end"), F.lit(kind).alias("kind"))))
+        return F.when(F.size(matches) > 0, ends).otherwise(F.array().cast(SPAN))
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
-            span = F.struct(begin.alias("start"), (begin + x["n"]).alias("end"), F.lit(kind).alias("kind"))
-            return F.struct((begin + x["n"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), positions)
 
-        spans = F.aggregate(lengths, start, step, lambda acc: acc["spans"])
-        return F.when(F.size(matches) > 0, F.slice(spans, F.lit(1), F.size(matches))).otherwise(F.array().cast(SPAN))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), 0), positions)
+def blanked(text: Column, pattern: str, least_value: int = 0) -> Column:
+    """The text with all matches as spaces, one for each character; with `least_value` only those whose second group is as long."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    found = F.zip_with(matches, F.regexp_extract_all(text, F.lit(pattern), 2), lambda m, v: F.when(F.length(v) >= least_value, F.repeat(F.lit(" "), F.length(m))).otherwise(m)) if least_value else F.transform(matches, lambda m: F.repeat(F.lit(" "), F.length(m)))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda piece, m: F.concat(piece, F.coalesce(m, F.lit("")))), "")
 
 
 def pattern_spans(text: Column) -> Column:
     """All spans of the fixed patterns by start, then kind."""
     none = F.array().cast(SPAN)
     values = F.regexp_extract_all(text, F.lit(ASSIGN), 2)
-    assign = F.filter(F.zip_with(spans_of(text, ASSIGN, 0), values, lambda s, v: F.when(F.length(v) >= 12, s)), lambda s: s.isNotNull())
+    assign = F.filter(F.zip_with(spans_of(text, ASSIGN, 0), values, lambda s, v: F.when(F.length(v) >= LEAST_VALUE, s)), lambda s: s.isNotNull())
     assign = F.when((F.instr(text, ":") > 0) | (F.instr(text, "=") > 0), assign).otherwise(none)
     access = F.when(F.instr(text, "AKIA") > 0, spans_of(text, ACCESS, 1)).otherwise(none)
     return F.array_sort(F.concat(assign, access, spans_of(text, HEX, 2)))
@@ -65,13 +90,13 @@ def pattern_spans(text: Column) -> Column:
 
 def slots(value: Column) -> Column:
     """Index of the transition at each character but the last, 1-based into a table of SYMBOLS * SYMBOLS."""
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: code(i) * SYMBOLS + code(i + 1) + 1)
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return let(codes, lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 2, F.lit(0))), lambda i: F.get(a, i) * SYMBOLS + F.coalesce(F.get(a, i + 1), F.lit(-1)) + 1))
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """(value, is_secret) of all documents."""
-    secrets = F.concat(F.regexp_extract_all("text", F.lit(ACCESS), 0), F.regexp_extract_all("text", F.lit(HEX), 0), F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), 2), lambda v: F.length(v) >= 12))
+    secrets = F.concat(F.regexp_extract_all("text", F.lit(ACCESS), 0), F.regexp_extract_all("text", F.lit(HEX), 0), F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), 2), lambda v: F.length(v) >= LEAST_VALUE))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = F.regexp_extract_all(plain, F.lit(RUN % 8), 0)
     labelled = lambda a, label: F.transform(a, lambda v: F.struct(v.alias("value"), F.lit(label).alias("is_secret")))
@@ -93,20 +118,6 @@ def ratio_table(samples: DataFrame) -> list[float]:
     return [round(r - i, 6) for r, i in zip(logs(True), logs(False), strict=True)]
 
 
-def uncovered(run: Column, base: Column) -> Column:
-    """The parts of a run (s, its span, and v, its characters) that no base span covers, as such runs."""
-    begin, end = run["s"]["start"], run["s"]["end"]
-
-    def piece(lo: Column, hi: Column) -> Column:
-        span = F.struct(lo.alias("start"), hi.alias("end"), run["s"]["kind"].alias("kind"))
-        return F.array(F.struct(span.alias("s"), F.substring(run["v"], lo - begin + 1, F.greatest(hi - lo, F.lit(0))).alias("v")))
-
-    met = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > begin))
-    start = F.struct(begin.alias("at"), F.slice(piece(begin, end), 1, 0).alias("out"))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
-    return F.when(F.size(met) == 0, F.array(run)).otherwise(F.aggregate(met, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], end))))
-
-
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None, min_length: int = 20, threshold: float = 0.5) -> DataFrame:
     """doc_id, base (spans of the patterns) and added (those of the models alone), each by start, then kind."""
     rows = documents(docs)
@@ -115,14 +126,17 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, min_length:
     def score(value: Column) -> Column:
         return F.aggregate(slots(value), F.lit(0.0), lambda acc, slot: acc + F.get(table, slot - 1)) / (F.length(value) - 1)
 
-    def likely(text: Column, base: Column) -> Column:
+    def likely(text: Column) -> Column:
         runs = F.zip_with(spans_of(text, RUN % min_length, 3), F.regexp_extract_all(text, F.lit(RUN % min_length), 0), lambda s, v: F.struct(s.alias("s"), v.alias("v")))
-        pieces = F.flatten(F.transform(runs, lambda r: uncovered(r, base)))
-        found = F.filter(pieces, lambda r: F.length(r["v"]) >= min_length)
-        return F.transform(F.filter(found, lambda r: score(r["v"]) > threshold), lambda r: r["s"])
+        return F.transform(F.filter(runs, lambda r: score(r["v"]) > threshold), lambda r: r["s"])
+
+    rest = let(let(blanked(F.col("text"), ASSIGN, LEAST_VALUE), lambda t: blanked(t, ACCESS)), lambda t: blanked(t, HEX))
+
+    def both(base: Column) -> Column:
+        added = F.when(F.size(base) == 0, likely(F.col("text"))).otherwise(let(rest, likely))
+        return F.struct(base.alias("base"), added.alias("added"))
 
-    both = let(pattern_spans(F.col("text")), lambda base: F.struct(base.alias("base"), likely(F.col("text"), base).alias("added")))
-    return rows.select("doc_id", both.alias("s")).select("doc_id", "s.base", "s.added")
+    return rows.select("doc_id", let(pattern_spans(F.col("text")), both).alias("s")).select("doc_id", "s.base", "s.added")
 
 
 def written(spans: Column) -> Column:
