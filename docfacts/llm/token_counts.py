@@ -4,6 +4,9 @@ A word starts as a linked list of symbols. A heap holds the ranks of adjacent pa
 symbols become one, and the pairs with the new neighbours are pushed. When no pair is left, the word's count is its
 initial symbols minus the merges; no token identifiers are made. Words recur, so a worker remembers their counts.
 
+Texts are cut into words by the file's pattern. Characters that this process's Unicode tables don't know, or that it normalises or classes otherwise than the
+library (tried out on each new character), are rare; a text with one is normalised and cut by the library's own functions.
+
 Nulls: a null text is empty and has no tokens. A null doc_id stays null. Repeated rows are counted each. Extra columns
 are ignored. Texts are processed whole.
 """
@@ -21,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docfacts.llm.common import documents, read_table
 
@@ -58,10 +62,29 @@ class BytePairCounter:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
         self.alphabet = byte_alphabet()
         self.known: dict[str, int] = {}
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
+        self.plain, self.odd = {chr(c) for c in [9, 10, 13, *range(32, 127)]}, set()
 
     def normalise(self, text: str) -> str:
         return regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).lower()
 
+    def cut(self, text: str) -> list[str]:
+        """Words as the library's normaliser and splitter give them."""
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, w)).decode("utf-8", "replace") for w, _ in parts]
+
+    def is_plain(self, text: str) -> bool:
+        """Whether all characters are cut here as by the library."""
+        for c in set(text) - self.plain:
+            if c not in self.odd:
+                probes = [c, f"a{c}", f"{c}a", f"1{c}1", f"!{c}!", f" {c} ", f"e{c}\u0301", f"A{c}\u0323B"]
+                same = unicodedata.category(c) not in ("Cn", "Co", "Cs") and all(self.pattern.findall(self.normalise(p)) == self.cut(p) for p in probes)
+                (self.plain if same else self.odd).add(c)
+            if c in self.odd:
+                return False
+        return True
+
     def word(self, word: str) -> int:
         """Tokens of one word: symbols minus merges; symbols that the vocabulary lacks are dropped by the library, too."""
         symbols = [self.alphabet[b] for b in word.encode("utf-8")]
@@ -93,7 +116,7 @@ class BytePairCounter:
         parts = self.special.split(text) if "<|" in text else [text]
         total += len(parts) - 1  # a special string inside the text is one token
         for part in parts:
-            for w in self.pattern.findall(self.normalise(part)):
+            for w in self.pattern.findall(self.normalise(part)) if self.is_plain(part) else self.cut(part):
                 n = known.get(w)
                 if n is None:
                     if len(known) >= MEMORY_WORDS:
