@@ -31,10 +31,12 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; one of our own only where none is named."""
+    """A reliable checkpoint in the folder that the cluster names; one of our own only on a single machine where none is named."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docfacts-"))
     return df.checkpoint()
 

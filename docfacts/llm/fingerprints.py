@@ -8,8 +8,9 @@ likeness = (p - c) / (1 - c), at least 0.
 
 Main path: DataFrame functions alone. The hashes of a text and one sentinel a bin are sorted in place; the first of each
 bin is its minimum. `edited` pairs each document with its successor by doc_id: rows are split into ranges of ids whose
-bounds are quantiles of doc_id; the first row of a range is also sent to the range before, so one shuffle suffices
-and no range exceeds about `range_rows` rows.
+bounds are quantiles of doc_id; the first row of a range is also sent to the range before, so one shuffle suffices.
+There are as many ranges of `range_rows` rows as needed, `most_ranges` at most; ranges of more rows, and rows of one doc_id, which stay in one
+range, are sorted on disk where needed.
 
 Nulls: a null text is empty; rows with a null doc_id come first. Ties of doc_id are ordered by text. One to four words make
 one shingle; a text without words has an empty fingerprint, which is like another empty one (1) and unlike all else (0).
