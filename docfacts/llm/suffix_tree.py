@@ -1,254 +1,264 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are lower-cased words and the closing token; all words that training lacks are one symbol. The root holds add-one
-word frequencies. A context of one or two preceding words is a state of the tree if its suffix is one and its next-symbol
-distribution diverges from the suffix's: c(context) * KL(context || suffix) >= `divergence` of all training tokens (3
-nats at least). Distributions are smoothed by absolute discounting of one: what is taken from a transition, and whatever isn't
-listed, is dealt out as the suffix's distribution does, so each state's distribution adds up to 1. A token is scored in
-the state of its longest retained context; the score is the log10 of the product.
-
-Training covers every document of the training folds: word counts, then transitions level by level, each counted in the
-tasks and summed by Spark. Lists are bounded by their shares, not by the corpus: a word or transition is listed if it has
-`share` or more of all tokens (two at least), so that a level has at most 1 / share of them, and only what can still reach
-that is shuffled. Such lists are broadcast. Counts of all other words grow with the corpus and are joined by word.
+word frequencies. A context is a run of preceding words of any length within the text. It is considered if it occurs `least_count` times in
+training, the context without its oldest word is a state (one of a single word: always) and the one without its newest word was considered. It becomes a state
+if its next-symbol distribution diverges from its suffix's: count * divergence, estimated with each occurrence left out of its own
+context's counts, must reach `least_gain` nats. Distributions are smoothed by absolute discounting of one: what is taken from the `kinds` of next symbols that
+a context has is dealt out as the suffix state's distribution does, p(w | context) = (max(n(context, w) - 1, 0) + kinds * p(w | suffix)) / n(context), so
+each adds up to 1. A token is scored in
+the state of its longest retained context; the score is the log10 of the product. Contexts grow by a word a round until no
+longer one is a state. No threshold depends on the corpus' size, and nothing is listed, broadcast or collected but the number of tokens and of words.
+
+Documents are encoded once, into a table of blocks of about `block_tokens` tokens, bucketed by block: distinct 64-bit word hashes (which stand for the words) and
+each token's place among them. In a round every block sends its distinct transitions (a hash of all their words), or its contexts with their parts of the gain,
+each once and with its own sum, to the buckets of their hashes; there sums are added up over all blocks, and go back to the blocks in the order in which they
+came. Answers are bucketed by block, too, so that a round reads blocks and earlier answers side by side without moving them. A hot word has one entry a block.
+More blocks or buckets take no more memory of a task; `block_tokens` and `bucket_keys` bound it.
 
 Nulls: a null text is empty and has the closing token alone; a null doc_id counts as the empty text in its fold. Repeated
 rows are learned from and scored each. Extra columns are ignored. Without training documents N = V = 0 and all scores
-are 0 (each token has probability 1, as the base formula gives it).
+are 0 (each token has probability 1, as the base formula gives it). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import checkpoint, documents, fold_of, read_table, words_of
+from docfacts.llm.common import checkpoint, documents, fold_of, mix64, read_table, words_of
 
 END = b"\n"  # no word: words hold no line breaks
-MOST_WORDS, MOST_CODES = 300_000, 3_000_000  # that a task holds before it emits
-SLICE_ROWS = 400  # whose tokens are held at once
-ID_BITS = 21
-
-
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, SLICE_ROWS):
-            yield b.slice(lo, SLICE_ROWS)
-
-
-def tokens_of(text: str) -> list[bytes]:
-    return [*words_of(text), END]
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (binary), n of all rows' text, with the closing token of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
+SLICE_ROWS = 400  # whose words are held at once
+BYTES_PER_TOKEN = 6  # about; only for the number of buckets
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                counts.update(tokens_of(text))
-            if len(counts) >= MOST_WORDS:
-                yield emit()
-        yield emit()
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+@dataclass
+class Rules:
+    least_count: int = 8
+    least_gain: float = 3.0
+    tokens: float = 0.0  # of training
+    words: float = 0.0
 
 
-class Ids(dict):
-    """Number of each listed word, -1 for others."""
+class Numbers(dict):
+    """Numbers words as they come."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted key in sorted keys, -1 where there is none."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-class Level:
-    """Listed transitions of one level: code = context number << ID_BITS | word number, sorted; and their contexts' states."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray, context_count: np.ndarray, lower: np.ndarray, suffix_state: np.ndarray, least_gain: float):
-        """context_count: occurrences of each context; lower: probability of each transition's word in the suffix's state."""
-        self.codes, self.n = codes, n
-        context = (codes >> ID_BITS).astype(np.int64)
-        size = len(context_count)
-        total = np.maximum(context_count, 1)
-        share = n / total[context]
-        listed = np.bincount(context, share, size)
-        rest, rest_lower = 1 - listed, 1 - np.bincount(context, lower, size)
-        gain = np.bincount(context, share * np.log(share / lower), size)
-        gain += np.where(rest > 1e-12, rest * np.log(np.maximum(rest, 1e-12) / np.maximum(rest_lower, 1e-12)), 0)
-        self.state = (total * gain >= least_gain) & suffix_state & (np.bincount(context, minlength=size) > 0)
-        kept = (n - 1) / total[context]
-        left = np.maximum(1 - np.bincount(context, kept, size), 1e-12)
-        self.p = kept + left[context] * lower
-        self.log_left = np.log10(left)
-
-
-class Tree:
-    """The listed words with their counts, and the levels of contexts of one and two words."""
-
-    def __init__(self, words: list[bytes], n: np.ndarray, tokens: int, distinct: int):
-        self.words, self.n, self.tokens, self.distinct = words, n, tokens, distinct
-        self.root = (n + 1) / (tokens + distinct + 1)
-        self.levels: list[Level] = []
-
-    def ids(self) -> Ids:
-        return Ids(zip(self.words, range(len(self.words)), strict=True))
-
-    def contexts(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By level, (positions, code) of the transitions whose context is listed, for tokens of texts that begin at `starts`."""
-        out = []
-        age = np.arange(len(ids)) - np.repeat(starts, np.diff([*starts, len(ids)]))  # tokens before, in the text
-        before = np.full(len(ids), -1, np.int64)
-        before[1:] = ids[:-1]
-        context = np.where(age >= 1, before, -1)
-        for depth in range(len(self.levels) + 1):
-            at = np.nonzero(context >= 0)[0]
-            code = (context[at] << ID_BITS) | np.maximum(ids[at], 0)
-            out.append((at, code))
-            if depth == len(self.levels):
-                break
-            pair = np.full(len(ids), -1, np.int64)
-            hit = find(self.levels[depth].codes, code)
-            pair[at] = np.where(ids[at] >= 0, hit, -1)  # number of the transition that ends here: the next level's context there
-            context = np.full(len(ids), -1, np.int64)
-            context[1:] = pair[:-1]
-            context[age < depth + 2] = -1
-        return out
-
-    def gains(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 P(token | its state) - log10 P(token | root) of each token."""
-        gain = np.zeros(len(ids))
-        for level, (at, code) in zip(self.levels, self.contexts(ids, starts), strict=False):
-            context = code >> ID_BITS
-            on = level.state[context]
-            at, code, context = at[on], code[on], context[on]
-            listed = np.where(ids[at] >= 0, find(level.codes, code), -1)
-            hit = listed >= 0
-            gain[at[~hit]] += level.log_left[context[~hit]]
-            gain[at[hit]] = np.log10(level.p[listed[hit]]) - np.log10(self.root[ids[at[hit]]])
-        return gain
-
+        n = self[word] = len(self)
+        return n
 
-def batch_ids(texts: list[list[bytes]], ids: Callable[[bytes], int]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(t) for t in texts], np.int64)
-    flat = np.fromiter((i for t in texts for i in map(ids, t)), np.int64, int(lengths.sum()))
-    return flat, np.cumsum(lengths) - lengths
 
-
-def transitions(texts: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes of the next level's transitions with `least` or more occurrences, and these."""
-    shared = texts.sparkSession.sparkContext.broadcast(tree)
+def encoded(docs: DataFrame, block_tokens: int) -> DataFrame:
+    """A row per block: block, words (sorted hashes), tokens (places among them), lengths and teaches of its documents, rows (their other columns)."""
+    kept = [c for c in docs.columns if c not in ("text", "teaches")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes, held = shared.value.ids(), [], 0
+        block, numbers, tokens, lengths, teaches, rows, held = TaskContext.get().partitionId() << 33, Numbers(), [], [], [], [], 0
 
         def emit() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            codes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
-
-        for b in slices(batches):
-            flat, starts = batch_ids([tokens_of(t) for t in b.column("text").to_pylist()], ids.__getitem__)
-            at, code = shared.value.contexts(flat, starts)[-1]
-            codes.append(code[flat[at] >= 0])
-            held += len(codes[-1])
-            if held >= MOST_CODES:
-                yield emit()
-                held = 0
-        if codes:
+            nonlocal block, held
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            own = pa.concat_arrays(rows)
+            columns = [pa.array([x], pa.binary()) for x in (hashes[order].tobytes(), place[np.concatenate(tokens)].tobytes(), np.array(lengths, np.uint32).tobytes(), np.array(teaches, np.uint8).tobytes())]
+            out = pa.RecordBatch.from_arrays([pa.array([block]), *columns, pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["block", "words", "tokens", "lengths", "teaches", "rows"])
+            for x in (numbers, tokens, lengths, teaches, rows):
+                x.clear()
+            block, held = block + 1, 0
+            return out
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(lo, SLICE_ROWS)
+                texts = [[*words_of(t), END] for t in b.column("text").to_pylist()]
+                lengths += map(len, texts)
+                teaches += b.column("teaches").to_pylist()
+                tokens.append(np.fromiter((n for t in texts for n in map(numbers.__getitem__, t)), np.uint32, sum(map(len, texts))))
+                rows.append(pa.StructArray.from_arrays([b.column(c) for c in kept], kept))
+                held += len(tokens[-1])
+                if held >= block_tokens:
+                    yield emit()
+        if rows:
             yield emit()
 
-    counted = texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") >= least).toPandas().sort_values("code")  # at most 1 / share rows
-    return found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-
-
-def fit(texts: DataFrame, counts: DataFrame, tokens: int, distinct: int, depth: int, share: float, divergence: float) -> Tree:
-    least, gain = max(2.0, share * tokens), max(3.0, divergence * tokens)
-    listed = counts.where(F.col("n") >= least).toPandas().sort_values("word")  # at most 1 / share rows
-    tree = Tree([bytes(w) for w in listed["word"]], listed["n"].to_numpy(np.int64), tokens, distinct)
-    count, state, numbers = tree.n, np.ones(len(tree.words), bool), tree.root
-    for _ in range(depth if len(tree.words) else 0):
-        codes, n = transitions(texts, tree, least)
-        context, word = codes >> ID_BITS, codes & ((1 << ID_BITS) - 1)
-        if not tree.levels:
-            lower = tree.root[word]
-        else:  # the suffix drops the oldest word: the level before has it as a transition of the newest word
-            last = tree.levels[-1]
-            suffix = (last.codes[context] & ((1 << ID_BITS) - 1))
-            state = last.state[last.codes & ((1 << ID_BITS) - 1)]
-            shorter = find(last.codes, (suffix << ID_BITS) | word)
-            backed = 10 ** last.log_left[suffix] * tree.root[word]
-            lower = np.where(shorter >= 0, last.p[np.maximum(shorter, 0)], backed)
-        tree.levels.append(Level(codes, n, count, lower, state, gain))
-        count = n
-        if not len(codes):
-            break
-    return tree
-
-
-def score_documents(docs: DataFrame, train: DataFrame, depth: int = 2, share: float = 1e-6, divergence: float = 1e-6) -> DataFrame:
-    """Per row of `docs` (text and the columns it has besides): n_tokens, n_known, train_tokens, base_score, score."""
-    counts = checkpoint(word_counts(train))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    shared = docs.sparkSession.sparkContext.broadcast(fit(train, counts, tokens, distinct, depth, share, divergence))
-    names = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text")
+    schema = ", ".join(f"{c}: {t}" for c, t in docs.dtypes if c in kept)
+    return docs.mapInArrow(run, f"block long, words binary, tokens binary, lengths binary, teaches binary, rows array<struct<{schema}>>")
+
+
+@dataclass
+class Question:
+    """Distinct keys, sorted, with this block's sums: what it has to know of all blocks."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+
+class Block:
+    """One block's tokens; `walk` takes them through the rounds that are answered."""
+
+    def __init__(self, words: bytes, tokens: bytes, lengths: bytes, teaches: bytes):
+        self.words, self.tokens, self.lengths = np.frombuffer(words, np.uint64), np.frombuffer(tokens, np.uint32).astype(np.int64), np.frombuffer(lengths, np.uint32)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.learns = np.frombuffer(teaches, np.uint8).astype(bool)[self.doc]
+        self.first = np.cumsum(self.lengths) - self.lengths  # documents' first tokens
+
+    def words_asked(self) -> Question:
+        return Question(self.words, np.bincount(self.tokens[self.learns], minlength=len(self.words)))
+
+    def walk(self, answers: list[np.ndarray], rules: Rules) -> tuple[np.ndarray, Question]:
+        """Each token's probability as far as the answers go, and the next question. Answers: counts of words; then, by length of context, counts of transitions, kinds of next symbols and gains of contexts."""
+        keys, at_key, n = self.words, self.tokens, answers[0]
+        p = (n[at_key] + 1) / (rules.tokens + rules.words + 1)
+        in_state = np.ones(len(p), bool)
+        replies = iter(answers[1:])
+        while True:
+            before = np.empty(len(p), np.int64)
+            before[1:] = at_key[:-1]
+            before[self.first] = -1
+            considered = in_state & (before >= 0)
+            considered[considered] = n[before[considered]] >= rules.least_count
+            at = np.nonzero(considered)[0]
+            context, learns = before[at], self.learns[at]
+            own, transition = np.unique(mix64(keys[context] * GOLDEN + keys[at_key[at]]), return_inverse=True)
+            counts = next(replies, None)
+            if counts is None:
+                return p, Question(own, np.bincount(transition[learns], minlength=len(own)))
+            c, m, suffix = n[context], counts[transition], p[at]
+            contexts, of = np.unique(context, return_inverse=True)
+            kinds = next(replies, None)
+            if kinds is None:  # each kind is shared out among its occurrences
+                return p, Question(keys[contexts], np.bincount(of[learns], 1 / m[learns], len(contexts)))
+            kinds = np.round(kinds)[of]
+            gains = next(replies, None)
+            if gains is None:
+                left_out = (np.maximum(m - 2, 0) + (kinds - (m == 1)) * suffix)[learns] / (c - 1)[learns]
+                return p, Question(keys[contexts], np.bincount(of[learns], np.log(left_out / suffix[learns]), len(contexts)))
+            kept = (gains >= rules.least_gain)[of]
+            p[at[kept]] = ((np.maximum(m - 1, 0) + kinds * suffix) / c)[kept]
+            in_state = np.zeros(len(p), bool)
+            in_state[at[kept]] = True
+            at_key = np.full(len(p), -1, np.int64)
+            at_key[at] = transition
+            keys, n = own, counts
+
+
+def sums_of(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each block's keys, in their order, the sums over all blocks."""
+    sizes = [len(k) // 8 for k in table.column("keys").to_pylist()]
+    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
+    values = np.concatenate([np.frombuffer(v, np.float32) for v in table.column("part").to_pylist()])
+    _, place = np.unique(keys, return_inverse=True)
+    sums = np.split(np.bincount(place, values)[place], np.cumsum(sizes)[:-1])
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
+
+
+class Rounds:
+    """The bucketed tables of blocks and answers."""
+
+    def __init__(self, docs: DataFrame, rules: Rules, block_tokens: int, bucket_keys: int):
+        self.spark, self.rules, self.name = docs.sparkSession, rules, f"suffix_tree_{uuid.uuid4().hex}"
+        tokens = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / BYTES_PER_TOKEN
+        self.places, self.buckets = max(4, int(tokens / block_tokens / 2)), max(4, int(tokens / 2 / bucket_keys))
+        self.answers = 0
+        self.write(encoded(docs, block_tokens), "blocks")
+
+    def write(self, rows: DataFrame, name: str) -> None:
+        rows.write.option("compression", "zstd").bucketBy(self.places, "block").saveAsTable(f"{self.name}_{name}")
+
+    def drop(self) -> None:
+        for name in ("blocks", *map(str, range(self.answers))):
+            self.spark.sql(f"drop table if exists {self.name}_{name}")
+
+    def joined(self) -> DataFrame:
+        """Blocks with the answers so far, side by side in their buckets."""
+        out = self.spark.table(f"{self.name}_blocks")
+        for i in range(self.answers):
+            out = out.join(self.spark.table(f"{self.name}_{i}").toDF("block", f"answer_{i}", f"asked_{i}"), "block", "left")
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, tree = TaskContext.get().partitionId() << 33, shared.value
-        listed = tree.ids()
-        logs = np.log10(np.append(tree.n, 0) + 1.0)  # the last, 0, for words that aren't listed
-        for b in slices(batches):
-            texts = [tokens_of(t) for t in b.column("text").to_pylist()]
-            flat, starts = batch_ids(texts, listed.__getitem__)
-            doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-            sums = lambda x: np.bincount(doc, x, len(texts))  # noqa: B023, E731
-            known, base, gain = sums((flat >= 0).astype(float)), sums(logs[flat]), sums(tree.gains(flat, starts))
-            rows, words, tf, at = [], [], [], []
-            for d, t in enumerate(texts):
-                rare = Counter(t[i] for i in np.nonzero(flat[starts[d] : starts[d] + len(t)] < 0)[0].tolist())
-                rows += [row] * (len(rare) + 1)
-                words += [b" %d" % row, *rare]  # a main row's word holds a space and so meets no counted word
-                tf += [0, *rare.values()]
-                at += [d] + [None] * len(rare)
-                row += 1
-            at = pa.array(at, pa.int32())
-            main = [pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)]
-            columns = [pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), *[c.take(at) for c in main], *[b.column(c).take(at) for c in names]]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "word", "tf", "n_tokens", "n_known", "base", "gain", *names])
-
-    parts = docs.mapInArrow(run, f"row long, word binary, tf long, n_tokens long, n_known long, base double, gain double, {schema}")
-    met = parts.join(counts, "word", "left")
-    rare_base = F.sum(F.when(F.col("n").isNotNull(), F.col("tf") * F.log10(F.col("n") + 1.0)).otherwise(0.0))
-    rare_known = F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0))
-    total = met.groupBy("row").agg(*[F.max(c).alias(c) for c in [*names, "n_tokens", "n_known", "base", "gain"]], rare_base.alias("rare_base"), rare_known.alias("rare_known"))
-    base = F.col("base") + F.col("rare_base") - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))
-    known = F.col("n_known") + F.col("rare_known")
-    return total.select(*names, "n_tokens", known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    def each_block(self, use, schema: str) -> DataFrame:
+        """use(block, answers, row) of each block, a record batch."""
+        answers = self.answers
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    get = lambda c: b.column(c)[i].as_py()  # noqa: B023, E731
+                    replies = [np.concatenate([np.empty(0), *[np.frombuffer(x["sums"]) for x in get(f"answer_{k}") or ()]]) for k in range(answers)]
+                    yield use(Block(get("words"), get("tokens"), get("lengths"), get("teaches")), replies, b.slice(i, 1))
+
+        return self.joined().mapInArrow(run, schema)
+
+    def ask(self) -> int:
+        """Puts every block's next question to all blocks; the number of keys asked for."""
+        rules, answers, buckets = self.rules, self.answers, self.buckets
+
+        def send(block: Block, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+            q = block.walk(replies, rules)[1] if answers else block.words_asked()
+            cuts = np.searchsorted(q.keys, (np.arange(1, buckets) * (2**64 // buckets)).astype(np.uint64) if buckets > 1 else np.empty(0, np.uint64))
+            keys, parts = np.split(q.keys, cuts), np.split(q.values.astype(np.float32), cuts)
+            full = [i for i, k in enumerate(keys) if len(k)]
+            columns = [pa.array(full, pa.int64()), pa.array([row.column("block")[0].as_py()] * len(full), pa.int64()), pa.array([keys[i].tobytes() for i in full], pa.binary()), pa.array([parts[i].tobytes() for i in full], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "keys", "part"])
+
+        sent = self.each_block(send, "bucket long, block long, keys binary, part binary")
+        sums = sent.groupBy("bucket").applyInArrow(sums_of, "block long, bucket long, sums binary").repartition(self.places, "block")
+        asked = F.sum(F.octet_length("sums") / 8).cast("long")
+        self.write(sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "sums"))).alias("answer"), asked.alias("asked")), str(answers))
+        self.answers += 1
+        return self.spark.table(f"{self.name}_{answers}").agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
+
+    def measure(self) -> None:
+        """Tokens and distinct words of training."""
+
+        def use(block: Block, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+            own = block.words_asked().values
+            return pa.RecordBatch.from_arrays([pa.array([float(own.sum())]), pa.array([float(np.sum(own[own > 0] / replies[0][own > 0]))])], ["tokens", "words"])
+
+        found = self.each_block(use, "tokens double, words double").agg(F.sum("tokens"), F.sum("words")).first()
+        self.rules.tokens, self.rules.words = round(found[0] or 0), round(found[1] or 0)
+
+    def scores(self, rows: str) -> DataFrame:
+        rules = self.rules
+
+        def use(block: Block, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+            p, n = block.walk(replies, rules)[0], replies[0][block.tokens]
+            sums = lambda x: np.bincount(block.doc, x, len(block.lengths))
+            base = sums(np.log10((n + 1) / (rules.tokens + rules.words + 1)))
+            columns = [row.column("rows").values if row.column("rows").offset == 0 else row.column("rows").flatten(), pa.array(block.lengths.astype(np.int64)), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(sums(np.log10(p)))]
+            return pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "n_known", "base_score", "score"])
+
+        scored = self.each_block(use, f"row {rows}, n_tokens long, n_known long, base_score double, score double")
+        return scored.select("row.*", "n_tokens", "n_known", F.lit(int(rules.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_documents(docs: DataFrame, rules: Rules | None = None, block_tokens: int = 1_000_000, bucket_keys: int = 2_000_000) -> DataFrame:
+    """Per row of `docs` (text, teaches and the columns it has besides): those columns and n_tokens, n_known, train_tokens, base_score, score."""
+    rounds = Rounds(docs, rules or Rules(), block_tokens, bucket_keys)
+    kept = ", ".join(f"{c}: {t}" for c, t in docs.dtypes if c not in ("text", "teaches"))
+    try:
+        rounds.ask()
+        rounds.measure()
+        while rounds.ask():
+            pass
+        return checkpoint(rounds.scores(f"struct<{kept}>"))
+    finally:
+        rounds.drop()
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(read_table(spark, sf_dir, "documents"))
-    docs = docs.select("doc_id", (fold_of(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    return score_documents(docs, docs.where("not held_out"))
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    return score_documents(docs.select("doc_id", held_out.alias("held_out"), "text", (~held_out).alias("teaches")))

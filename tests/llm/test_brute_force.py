@@ -154,20 +154,14 @@ def test_all_texts_of_an_id_count(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in out) == [(0, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
 
 
-def test_a_chained_group_is_verified_by_buckets(spark, monkeypatch):
-    """Windows over one long text: neighbours are near-duplicates, others share less and less."""
-    words = [f"w{i}" for i in range(300)]
-    docs = spark.createDataFrame([(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(32)], "doc_id long, text string")
-    want = components({i: shingles(t) for i, t in docs.collect()}, 85)
-    chained, groups_of = [], near_dedup.candidate_groups
-
-    def spy(*args):
-        out = near_dedup.checkpoint(groups_of(*args))
-        chained.extend(r["chained"] for r in out.select("grp.chained").distinct().collect())
-        return out
-
-    monkeypatch.setattr(near_dedup, "candidate_groups", spy)
-    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, block=10).collect()} == want and chained == [True]
+def test_a_chained_group_is_verified_by_buckets(spark):
+    """Each class shares a band with its neighbours alone; another group is one bucket."""
+    chain, star = [(i, 10, [i, i + 1]) for i in range(24)], [(100 + i, 10, [200]) for i in range(9)]
+    rows = near_dedup.candidate_groups(spark.createDataFrame(chain + star, "cid long, size long, bands array<long>"), 8, 10**9).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["grp"]["chained"], r["grp"]["g"], r["blocks"]].append(r["cid"])
+    assert {k: sorted(v) for k, v in groups.items()} == {**{(True, i, 1): [i - 1, i] for i in range(1, 24)}, (False, 100, 2): list(range(100, 109))}
 
 
 def test_super_minhash_estimates_similarity():
@@ -178,33 +172,68 @@ def test_super_minhash_estimates_similarity():
     assert (s[2] < np.iinfo(np.uint64).max).all()
 
 
-def test_lm_base_and_gain(spark, sf_dir, corpus):
+def suffix_tree_scores(texts, teach, rules):
+    """log10 of each text's probability by a tree of dictionaries; the states; and its conditional probability function."""
+    root = Counter(w for t, on in zip(texts, teach, strict=True) for w in t if on)
+    total, distinct = sum(root.values()), len(root)
+    states, considered, length = {}, {()}, 1
+
+    def p(context, w):
+        """In the state of the longest suffix that is one."""
+        for k in range(len(context)):
+            if context[k:] in states:
+                n = states[context[k:]]
+                return (max(n[w] - 1, 0) + len(n) * p(context[k + 1 :], w)) / sum(n.values())
+        return (root[w] + 1) / (total + distinct + 1)
+
+    while True:
+        follow = defaultdict(Counter)
+        for t, on in zip(texts, teach, strict=True):
+            for i in range(length, len(t)):
+                s = tuple(t[i - length : i])
+                if on and s[:-1] in considered and (length == 1 or s[1:] in states):
+                    follow[s][t[i]] += 1
+        follow = {s: n for s, n in follow.items() if sum(n.values()) >= rules.least_count}
+        found = {}
+        for s, n in follow.items():
+            c, gain = sum(n.values()), 0.0
+            for w, m in n.items():
+                suffix = p(s[1:], w)
+                gain += m * math.log((max(m - 2, 0) + (len(n) - (m == 1)) * suffix) / (c - 1) / suffix)
+            if gain >= rules.least_gain:
+                found[s] = n
+        if not found:
+            break
+        states.update(found)
+        considered, length = set(follow), length + 1
+    longest = max(map(len, states), default=0)
+    return [sum(math.log10(p(tuple(t[max(0, i - longest) : i]), w)) for i, w in enumerate(t)) for t in texts], states, p
+
+
+def test_lm_scores(spark, sf_dir, corpus):
+    """All rows against the dictionaries' tree, over many blocks and buckets."""
     tokens = {i: [*t.encode().lower().split(), b"\n"] for i, t in corpus.items()}
-    counts = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    counts = Counter(w for i, t in tokens.items() if not held[i] for w in t)
     n, v = sum(counts.values()), len(counts)
-    base = score = 0.0
-    for r in suffix_tree.op9_lm_scoring(spark, sf_dir).collect():
+    rules = suffix_tree.Rules(least_count=3, least_gain=1.0)
+    want, states, _ = suffix_tree_scores(tokens.values(), [not held[i] for i in tokens], rules)
+    want = dict(zip(tokens, want, strict=True))
+    docs = spark.createDataFrame([(i, held[i], corpus[i], not held[i]) for i in tokens], "doc_id long, held_out boolean, text string, teaches boolean")
+    rows = suffix_tree.score_documents(docs, rules, 10_000, 5_000).collect()
+    assert len(rows) == len(tokens) and max(map(len, states)) > 2
+    for r in rows:
         t = tokens[r["doc_id"]]
         assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(counts[w] > 0 for w in t), n)
-        if r["held_out"]:
-            base, score = base + r["base_score"], score + r["score"]
-    assert score > base
-
-
-def test_suffix_tree_states_are_distributions(spark):
-    docs = spark.createDataFrame([("a b c a b c a b d a b c",), ("a b c",), ("b c a c a b",)], "text string")
-    counts = suffix_tree.word_counts(docs)
-    tree = suffix_tree.fit(docs, counts, int(counts.groupBy().sum("n").first()[0]), counts.count(), 2, 1e-6, 1e-6)
-    words = [*range(len(tree.words))]
-    for context in ([], [0], [1], [0, 1], [1, 2]):
-        unlisted = 1 - sum(tree.root)  # of all words that aren't listed, known or not
-        gains = []
-        for w in [*words, -1]:
-            ids = np.array([tree.ids()[bytes([97 + c])] for c in context] + [w], np.int64)
-            gains.append(tree.gains(ids, np.array([0]))[-1])
-        probabilities = [tree.root[w] * 10**g for w, g in zip(words, gains, strict=False)] + [unlisted * 10 ** gains[-1]]
-        assert math.isclose(sum(probabilities), 1, rel_tol=1e-6), context
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(counts[w] > 0 for w in t), n)
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-6)
+    assert sum(r["score"] - r["base_score"] for r in rows if r["held_out"]) > 0
+
+
+def test_suffix_tree_states_are_distributions():
+    texts = [t.split() for t in ["a b c a b c a b d a b c"] * 4 + ["a b c", "b c a c a b"] * 3]
+    _, states, p = suffix_tree_scores(texts, [True] * len(texts), suffix_tree.Rules(2, 0.1))
+    assert states and all(math.isclose(sum(p(s, w) for w in [*"abcd", "unknown"]), 1, rel_tol=1e-9) for s in states)
 
 
 def test_maximal_segments():

@@ -19,7 +19,7 @@ ROWWISE = {
     "fingerprints": fingerprints.fingerprint_pairs,
     "near": near_dedup.near_duplicates,
     "lines": line_dedup.dedup_lines,
-    "lm": lambda d: suffix_tree.score_documents(plain(d), plain(d)),
+    "lm": lambda d: suffix_tree.score_documents(plain(d).withColumn("teaches", F.lit(True))),
     "quality": lambda d: quality.score_quality(d, None, "doc_id"),
     "toxicity": lambda d: toxicity.score_toxicity(plain(d), 0.1),
 }
