@@ -13,7 +13,8 @@ longer one is a state. No threshold depends on the corpus' size, and nothing is
 Documents are encoded once, into a table of blocks of about `block_tokens` tokens, bucketed by block: distinct 64-bit word hashes (which stand for the words) and
 each token's place among them. In a round every block sends its distinct transitions (a hash of all their words), or its contexts with their parts of the gain,
 each once and with its own sum, to the buckets of their hashes; there sums are added up over all blocks, and go back to the blocks in the order in which they
-came. Answers are bucketed by block, too, so that a round reads blocks and earlier answers side by side without moving them. A hot word has one entry a block.
+came. Answers are bucketed by block, too, so that a round reads blocks and earlier answers side by side without moving them. After the contexts of two words few
+tokens are still in a state; from there on rounds read a table of these alone. A hot word has one entry a block.
 More blocks or buckets take no more memory of a task; `block_tokens` and `bucket_keys` bound it.
 
 Nulls: a null text is empty and has the closing token alone; a null doc_id counts as the empty text in its fold. Repeated
@@ -24,8 +25,8 @@ are 0 (each token has probability 1, as the base formula gives it). An empty tab
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ END = b"\n"  # no word: words hold no line breaks
 SLICE_ROWS = 400  # whose words are held at once
 BYTES_PER_TOKEN = 6  # about; only for the number of buckets
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+FULL_ROUNDS = 7  # words, then three a length of context: those that read whole blocks
 
 
 @dataclass
@@ -105,62 +107,89 @@ class Question:
     values: np.ndarray
 
 
+@dataclass
+class Active:
+    """Tokens, in order, whose context of the current length is considered."""
+
+    at: np.ndarray  # place in the block
+    doc: np.ndarray
+    learns: np.ndarray
+    code: np.ndarray  # hash of context and token
+    context: np.ndarray  # hash of the context
+    c: np.ndarray  # its count
+    p: np.ndarray  # probability in the longest state so far
+
+    def binaries(self) -> list[pa.Array]:
+        return [pa.array([getattr(self, f.name).tobytes()], pa.binary()) for f in fields(self)]
+
+    @classmethod
+    def read(cls, get: Callable[[str], bytes]) -> Active:
+        kinds = {"at": np.int64, "doc": np.int64, "learns": bool, "code": np.uint64, "context": np.uint64}
+        return cls(*[np.frombuffer(get(f.name), kinds.get(f.name, np.float64)) for f in fields(cls)])
+
+    def grown(self, m: np.ndarray, p: np.ndarray, in_state: np.ndarray, least_count: int) -> Active:
+        """With contexts longer by a word; m: counts of the transitions, whose hashes are the next contexts'."""
+        before = np.searchsorted(self.at, self.at - 1)
+        ok = in_state & (self.at[before] == self.at - 1) & (self.doc[before] == self.doc) & (m[before] >= least_count)
+        before = before[ok]
+        return Active(self.at[ok], self.doc[ok], self.learns[ok], mix64(self.code[before] * GOLDEN + self.code[ok]), self.code[before], m[before], p[ok])
+
+    def advance(self, replies: Iterator[np.ndarray], rules: Rules) -> Question | tuple[np.ndarray, Active]:
+        """The next question; or, where counts of transitions, kinds of next symbols and gains of contexts are answered, new probabilities and what grows from here."""
+        learns = self.learns
+        own, transition = np.unique(self.code, return_inverse=True)
+        if (counts := next(replies, None)) is None:
+            return Question(own, np.bincount(transition[learns], minlength=len(own)))
+        m = counts[transition]
+        contexts, of = np.unique(self.context, return_inverse=True)
+        if (kinds := next(replies, None)) is None:  # each kind is shared out among its occurrences
+            return Question(contexts, np.bincount(of[learns], 1 / m[learns], len(contexts)))
+        kinds = np.round(kinds)[of]
+        if (gains := next(replies, None)) is None:
+            left_out = (np.maximum(m - 2, 0) + (kinds - (m == 1)) * self.p)[learns] / (self.c - 1)[learns]
+            return Question(contexts, np.bincount(of[learns], np.log(left_out / self.p[learns]), len(contexts)))
+        kept = (gains >= rules.least_gain)[of]
+        p = np.where(kept, (np.maximum(m - 1, 0) + kinds * self.p) / self.c, self.p)
+        return p, self.grown(m, p, kept, rules.least_count)
+
+
 class Block:
     """One block's tokens; `walk` takes them through the rounds that are answered."""
 
-    def __init__(self, words: bytes, tokens: bytes, lengths: bytes, teaches: bytes):
-        self.words, self.tokens, self.lengths = np.frombuffer(words, np.uint64), np.frombuffer(tokens, np.uint32).astype(np.int64), np.frombuffer(lengths, np.uint32)
+    def __init__(self, get: Callable[[str], bytes]):
+        self.words, self.tokens, self.lengths = np.frombuffer(get("words"), np.uint64), np.frombuffer(get("tokens"), np.uint32).astype(np.int64), np.frombuffer(get("lengths"), np.uint32)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.learns = np.frombuffer(teaches, np.uint8).astype(bool)[self.doc]
-        self.first = np.cumsum(self.lengths) - self.lengths  # documents' first tokens
+        self.learns = np.frombuffer(get("teaches"), np.uint8).astype(bool)[self.doc]
 
     def words_asked(self) -> Question:
         return Question(self.words, np.bincount(self.tokens[self.learns], minlength=len(self.words)))
 
-    def walk(self, answers: list[np.ndarray], rules: Rules) -> tuple[np.ndarray, Question]:
-        """Each token's probability as far as the answers go, and the next question. Answers: counts of words; then, by length of context, counts of transitions, kinds of next symbols and gains of contexts."""
-        keys, at_key, n = self.words, self.tokens, answers[0]
-        p = (n[at_key] + 1) / (rules.tokens + rules.words + 1)
-        in_state = np.ones(len(p), bool)
-        replies = iter(answers[1:])
-        while True:
-            before = np.empty(len(p), np.int64)
-            before[1:] = at_key[:-1]
-            before[self.first] = -1
-            considered = in_state & (before >= 0)
-            considered[considered] = n[before[considered]] >= rules.least_count
-            at = np.nonzero(considered)[0]
-            context, learns = before[at], self.learns[at]
-            own, transition = np.unique(mix64(keys[context] * GOLDEN + keys[at_key[at]]), return_inverse=True)
-            counts = next(replies, None)
-            if counts is None:
-                return p, Question(own, np.bincount(transition[learns], minlength=len(own)))
-            c, m, suffix = n[context], counts[transition], p[at]
-            contexts, of = np.unique(context, return_inverse=True)
-            kinds = next(replies, None)
-            if kinds is None:  # each kind is shared out among its occurrences
-                return p, Question(keys[contexts], np.bincount(of[learns], 1 / m[learns], len(contexts)))
-            kinds = np.round(kinds)[of]
-            gains = next(replies, None)
-            if gains is None:
-                left_out = (np.maximum(m - 2, 0) + (kinds - (m == 1)) * suffix)[learns] / (c - 1)[learns]
-                return p, Question(keys[contexts], np.bincount(of[learns], np.log(left_out / suffix[learns]), len(contexts)))
-            kept = (gains >= rules.least_gain)[of]
-            p[at[kept]] = ((np.maximum(m - 1, 0) + kinds * suffix) / c)[kept]
-            in_state = np.zeros(len(p), bool)
-            in_state[at[kept]] = True
-            at_key = np.full(len(p), -1, np.int64)
-            at_key[at] = transition
-            keys, n = own, counts
-
-
-def sums_of(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block's keys, in their order, the sums over all blocks."""
+    def walk(self, answers: list[np.ndarray], rules: Rules) -> tuple[np.ndarray, Active]:
+        """Each token's probability and the tokens whose contexts are still growing, as far as the answers go."""
+        n = answers[0][self.tokens]
+        p = (n + 1) / (rules.tokens + rules.words + 1)
+        none = np.zeros(0)
+        active = Active(np.arange(len(p)), self.doc, self.learns, self.words[self.tokens], none, none, p).grown(n, p, np.ones(len(p), bool), rules.least_count)
+        for i in range(1, len(answers) - 2, 3):
+            after, grown = active.advance(iter(answers[i : i + 3]), rules)
+            p[active.at] = after
+            active = grown
+        return p, active
+
+    def question(self, answers: list[np.ndarray], rules: Rules) -> Question:
+        if not answers:
+            return self.words_asked()
+        done = 1 + (len(answers) - 1) // 3 * 3
+        return self.walk(answers[:done], rules)[1].advance(iter(answers[done:]), rules)
+
+
+def sums_of(table: pa.Table, exact: bool) -> pa.Table:
+    """Of one bucket: for each block's keys, in their order, the sums over all blocks, in half the bytes if not `exact`."""
     sizes = [len(k) // 8 for k in table.column("keys").to_pylist()]
     keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
     values = np.concatenate([np.frombuffer(v, np.float32) for v in table.column("part").to_pylist()])
     _, place = np.unique(keys, return_inverse=True)
-    sums = np.split(np.bincount(place, values)[place], np.cumsum(sizes)[:-1])
+    sums = np.split(np.bincount(place, values)[place].astype(np.float64 if exact else np.float32), np.cumsum(sizes)[:-1])
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "sums": pa.array([s.tobytes() for s in sums], pa.binary())})
 
 
@@ -178,82 +207,125 @@ class Rounds:
         rows.write.option("compression", "zstd").bucketBy(self.places, "block").saveAsTable(f"{self.name}_{name}")
 
     def drop(self) -> None:
-        for name in ("blocks", *map(str, range(self.answers))):
+        for name in ("blocks", "rest", *map(str, range(self.answers))):
             self.spark.sql(f"drop table if exists {self.name}_{name}")
 
-    def joined(self) -> DataFrame:
-        """Blocks with the answers so far, side by side in their buckets."""
-        out = self.spark.table(f"{self.name}_blocks")
-        for i in range(self.answers):
+    def joined(self, table: str, answers: range) -> DataFrame:
+        """A table's blocks with answers, side by side in their buckets."""
+        out = self.spark.table(f"{self.name}_{table}")
+        for i in answers:
             out = out.join(self.spark.table(f"{self.name}_{i}").toDF("block", f"answer_{i}", f"asked_{i}"), "block", "left")
         return out
 
-    def each_block(self, use, schema: str) -> DataFrame:
-        """use(block, answers, row) of each block, a record batch."""
-        answers = self.answers
+    def each_block(self, use: Callable, schema: str, table: str = "blocks", first: int = 0, more: DataFrame | None = None) -> DataFrame:
+        """use(get, answers from the `first` on, row) of each block, a record batch; get gives a column's value."""
+        answers = range(first, min(self.answers, FULL_ROUNDS) if table == "blocks" else self.answers)
+        joined = self.joined(table, answers)
+
+        def reply(parts: list[dict] | None, i: int) -> np.ndarray:
+            return np.concatenate([np.empty(0), *[np.frombuffer(x["sums"], np.float32 if i else np.float64).astype(float) for x in parts or ()]])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
                     get = lambda c: b.column(c)[i].as_py()  # noqa: B023, E731
-                    replies = [np.concatenate([np.empty(0), *[np.frombuffer(x["sums"]) for x in get(f"answer_{k}") or ()]]) for k in range(answers)]
-                    yield use(Block(get("words"), get("tokens"), get("lengths"), get("teaches")), replies, b.slice(i, 1))
+                    yield use(get, [reply(get(f"answer_{k}"), k) for k in answers], b.slice(i, 1))
 
-        return self.joined().mapInArrow(run, schema)
+        return (joined if more is None else joined.join(more, "block", "left")).mapInArrow(run, schema)
 
-    def ask(self) -> int:
+    def ask(self, table: str = "blocks", first: int = 0) -> int:
         """Puts every block's next question to all blocks; the number of keys asked for."""
         rules, answers, buckets = self.rules, self.answers, self.buckets
 
-        def send(block: Block, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
-            q = block.walk(replies, rules)[1] if answers else block.words_asked()
+        def send(get: Callable, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+            if table == "blocks":
+                q = Block(get).question(replies, rules)
+            else:
+                q = late(Active.read(get), replies, rules)[2]
             cuts = np.searchsorted(q.keys, (np.arange(1, buckets) * (2**64 // buckets)).astype(np.uint64) if buckets > 1 else np.empty(0, np.uint64))
             keys, parts = np.split(q.keys, cuts), np.split(q.values.astype(np.float32), cuts)
             full = [i for i, k in enumerate(keys) if len(k)]
-            columns = [pa.array(full, pa.int64()), pa.array([row.column("block")[0].as_py()] * len(full), pa.int64()), pa.array([keys[i].tobytes() for i in full], pa.binary()), pa.array([parts[i].tobytes() for i in full], pa.binary())]
+            columns = [pa.array(full, pa.int64()), pa.array([get("block")] * len(full), pa.int64()), pa.array([keys[i].tobytes() for i in full], pa.binary()), pa.array([parts[i].tobytes() for i in full], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "keys", "part"])
 
-        sent = self.each_block(send, "bucket long, block long, keys binary, part binary")
-        sums = sent.groupBy("bucket").applyInArrow(sums_of, "block long, bucket long, sums binary").repartition(self.places, "block")
-        asked = F.sum(F.octet_length("sums") / 8).cast("long")
+        sent = self.each_block(send, "bucket long, block long, keys binary, part binary", table, first)
+        exact = answers == 0
+        sums = sent.groupBy("bucket").applyInArrow(lambda t: sums_of(t, exact), "block long, bucket long, sums binary").repartition(self.places, "block")
+        asked = F.sum(F.octet_length("sums") / 4).cast("long")
         self.write(sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "sums"))).alias("answer"), asked.alias("asked")), str(answers))
         self.answers += 1
         return self.spark.table(f"{self.name}_{answers}").agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
 
+    def rest(self) -> None:
+        """The table of the tokens that are still growing."""
+        rules, names = self.rules, [f.name for f in fields(Active)]
+
+        def use(get: Callable, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([row.column("block"), *Block(get).walk(replies, rules)[1].binaries()], ["block", *names])
+
+        self.write(self.each_block(use, ", ".join(["block long", *[f"{n} binary" for n in names]])), "rest")
+
+    def late_probabilities(self) -> DataFrame:
+        """block, late_at, late_p: of the tokens that grew beyond the full rounds."""
+        rules = self.rules
+
+        def use(get: Callable, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+            at, p, _ = late(Active.read(get), replies, rules)
+            return pa.RecordBatch.from_arrays([row.column("block"), pa.array([at.tobytes()], pa.binary()), pa.array([p.tobytes()], pa.binary())], ["block", "late_at", "late_p"])
+
+        return self.each_block(use, "block long, late_at binary, late_p binary", "rest", FULL_ROUNDS)
+
     def measure(self) -> None:
         """Tokens and distinct words of training."""
 
-        def use(block: Block, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
-            own = block.words_asked().values
+        def use(get: Callable, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+            own = Block(get).words_asked().values
             return pa.RecordBatch.from_arrays([pa.array([float(own.sum())]), pa.array([float(np.sum(own[own > 0] / replies[0][own > 0]))])], ["tokens", "words"])
 
         found = self.each_block(use, "tokens double, words double").agg(F.sum("tokens"), F.sum("words")).first()
         self.rules.tokens, self.rules.words = round(found[0] or 0), round(found[1] or 0)
 
-    def scores(self, rows: str) -> DataFrame:
-        rules = self.rules
+    def scores(self, rows: str, more: DataFrame | None) -> DataFrame:
+        rules, grew = self.rules, more is not None
 
-        def use(block: Block, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+        def use(get: Callable, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
+            block = Block(get)
             p, n = block.walk(replies, rules)[0], replies[0][block.tokens]
+            if grew and get("late_at"):
+                p[np.frombuffer(get("late_at"), np.int64)] = np.frombuffer(get("late_p"))
             sums = lambda x: np.bincount(block.doc, x, len(block.lengths))
             base = sums(np.log10((n + 1) / (rules.tokens + rules.words + 1)))
-            columns = [row.column("rows").values if row.column("rows").offset == 0 else row.column("rows").flatten(), pa.array(block.lengths.astype(np.int64)), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(sums(np.log10(p)))]
+            columns = [row.column("rows").flatten(), pa.array(block.lengths.astype(np.int64)), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(sums(np.log10(p)))]
             return pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "n_known", "base_score", "score"])
 
-        scored = self.each_block(use, f"row {rows}, n_tokens long, n_known long, base_score double, score double")
+        scored = self.each_block(use, f"row {rows}, n_tokens long, n_known long, base_score double, score double", more=more)
         return scored.select("row.*", "n_tokens", "n_known", F.lit(int(rules.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score_documents(docs: DataFrame, rules: Rules | None = None, block_tokens: int = 1_000_000, bucket_keys: int = 2_000_000) -> DataFrame:
+def late(active: Active, replies: list[np.ndarray], rules: Rules) -> tuple[np.ndarray, np.ndarray, Question | None]:
+    """Tokens that were still growing, their probabilities and the next question, if there is one, as far as the replies go."""
+    at, p, answers = active.at, active.p.copy(), iter(replies)
+    while True:
+        got = active.advance(answers, rules)
+        if isinstance(got, Question):
+            return at, p, got
+        p[np.searchsorted(at, active.at)] = got[0]
+        active = got[1]
+
+
+def score_documents(docs: DataFrame, rules: Rules | None = None, block_tokens: int = 500_000, bucket_keys: int = 2_000_000) -> DataFrame:
     """Per row of `docs` (text, teaches and the columns it has besides): those columns and n_tokens, n_known, train_tokens, base_score, score."""
     rounds = Rounds(docs, rules or Rules(), block_tokens, bucket_keys)
     kept = ", ".join(f"{c}: {t}" for c, t in docs.dtypes if c not in ("text", "teaches"))
     try:
         rounds.ask()
         rounds.measure()
-        while rounds.ask():
-            pass
-        return checkpoint(rounds.scores(f"struct<{kept}>"))
+        growing = all(rounds.ask() for _ in range(FULL_ROUNDS - 1))
+        if growing:
+            rounds.rest()
+            while rounds.ask("rest", FULL_ROUNDS):
+                pass
+        return checkpoint(rounds.scores(f"struct<{kept}>", rounds.late_probabilities() if growing else None))
     finally:
         rounds.drop()
 
