@@ -46,7 +46,7 @@ FULL_ROUNDS = 7  # words, then three a length of context: those that read whole
 
 @dataclass
 class Rules:
-    least_count: int = 8
+    least_count: int = 16
     least_gain: float = 3.0
     tokens: float = 0.0  # of training
     words: float = 0.0
@@ -254,6 +254,8 @@ class Rounds:
         asked = F.sum(F.octet_length("sums") / 4).cast("long")
         self.write(sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "sums"))).alias("answer"), asked.alias("asked")), str(answers))
         self.answers += 1
+        del sent, sums
+        self.spark.sparkContext._jvm.System.gc()  # so that Spark deletes the shuffle files of answered rounds
         return self.spark.table(f"{self.name}_{answers}").agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
 
     def rest(self) -> None:
@@ -313,7 +315,7 @@ def late(active: Active, replies: list[np.ndarray], rules: Rules) -> tuple[np.nd
         active = got[1]
 
 
-def score_documents(docs: DataFrame, rules: Rules | None = None, block_tokens: int = 500_000, bucket_keys: int = 2_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, rules: Rules | None = None, block_tokens: int = 250_000, bucket_keys: int = 1_000_000) -> DataFrame:
     """Per row of `docs` (text, teaches and the columns it has besides): those columns and n_tokens, n_known, train_tokens, base_score, score."""
     rounds = Rounds(docs, rules or Rules(), block_tokens, bucket_keys)
     kept = ", ".join(f"{c}: {t}" for c, t in docs.dtypes if c not in ("text", "teaches"))
