@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docfacts.llm import fingerprints, near_dedup, packing, secrets, suffix_tree, token_counts, toxicity
+from docfacts.llm import fingerprints, line_dedup, near_dedup, packing, quality, secrets, suffix_tree, token_counts, toxicity
+from docfacts.llm.common import documents
 from docfacts.llm.quality import op1_quality_classifier
 
-from .conftest import prose
+from .conftest import EDGES, prose
 
 
 @pytest.fixture(scope="module")
@@ -241,6 +242,132 @@ def test_maximal_segments():
     assert [(s, e) for s, e, _ in toxicity.maximal_segments(scores)] == [(0, 1), (2, 3), (4, 11)]
 
 
+def segments_by_definition(scores, lo, hi):
+    """The best segment of [lo, hi), then those left and right of it."""
+    above = np.concatenate([[0.0], np.cumsum(scores)])
+    best = max(((above[j] - above[i], i - j, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0, 0, 0, 0))
+    if best[0] <= 0:
+        return []
+    _, _, i, j = best
+    return [*segments_by_definition(scores, lo, i), (i, j), *segments_by_definition(scores, j, hi)]
+
+
+def test_maximal_segments_by_definition():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 30, 40):
+        for _ in range(6):
+            scores = rng.normal(-0.2, 1, n)
+            assert [(s, e) for s, e, _ in toxicity.maximal_segments(scores)] == segments_by_definition(scores, 0, n)
+
+
+def test_toxicity_of_every_row(spark, sf_dir, corpus):
+    """All rows against a plain scorer with the same fitted tables."""
+    docs = documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "toxic", F.lit(True))
+    for r in toxicity.score_toxicity(docs, model).collect():
+        words, scores = corpus[r["doc_id"]].lower().split(), []
+        for w in words:
+            w = "".join(c for c in w if c.isalpha())
+            known = [w[:n] for n in range(len(w), 0, -1) if (n == len(w) or n >= 4) and w[:n] in model.table]
+            scores.append(model.scores[model.table[known[0]] if known else 0])
+        if len(words) > 150:
+            continue
+        found = segments_by_definition(np.array(scores), 0, len(scores))
+        best = sorted((sum(scores[i:j]) for i, j in found), reverse=True) or [0.0]
+        top, total = -math.inf, 0.0
+        for k, s in enumerate(best, 1):
+            total += model.rate * s - math.log(model.k * max(len(words), 1))
+            if total > 0 or k == 1:
+                top = max(top, total - (k - 1) * math.log(max(total, 1)) + math.lgamma(k + 1) + math.lgamma(k) - k * math.log(2))
+        assert math.isclose(r["score"], float(np.interp(top, model.at, model.value)), rel_tol=1e-6, abs_tol=1e-9)
+        for p in r["passages"]:
+            assert 0 <= p["start"] < p["end"] <= len(corpus[r["doc_id"]])
+
+
+def test_labelled_copies_weigh_together(spark):
+    line = "a line that many documents have in common at their end"
+    rows = [(i, prose(50, 80), 0) for i in range(4)] + [(10 + i, f"{prose(60 + i, 80)} {line}", 0) for i in range(4)] + [(20, "", 1)]
+    weights = dict(toxicity.weighed(spark.createDataFrame(rows, "doc_id long, text string, y int")).collect())
+    assert [weights[i] for i in range(4)] == [0.25] * 4 and all(weights[10 + i] == 1 for i in range(4)) and 20 not in weights
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(2)
+    bags, y = np.array([3, 1, 4, 2]), np.array([1.0, 0.0, 1.0, 0.0])
+    x = rng.normal(size=(10, 5))
+    model = quality.train(x, bags, y, width=4, gate=3, steps=2)
+    loss = lambda: float(np.mean(-y * np.log(model.forward(x, bags)["y"]) - (1 - y) * np.log(1 - model.forward(x, bags)["y"])))
+    model.weights["d"] = np.array(model.weights["d"])
+    for name, g in model.gradients(x, bags, y, 0.0).items():
+        w, g = model.weights[name], np.asarray(g)
+        for i in np.ndindex(*w.shape):
+            at = w[i].copy()
+            w[i] = at + 1e-5
+            up = loss()
+            w[i] = at - 1e-5
+            assert math.isclose(g[i], (up - loss()) / 2e-5, rel_tol=1e-4, abs_tol=1e-7)
+            w[i] = at
+
+
+def test_quality_forward_pass():
+    rng = np.random.default_rng(3)
+    bags, x = np.array([2, 5, 1]), rng.normal(size=(8, 5))
+    model = quality.train(x, bags, np.array([1.0, 0.0, 1.0]), width=4, gate=3, steps=5)
+    p, at = model.weights, 0
+    for n, got in zip(bags, model.score(x, bags), strict=True):
+        h = np.tanh(((x[at : at + n] - model.mean) / model.scale) @ p["W"] + p["b"])
+        e = np.exp([np.dot(p["w"], np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) for v in h])
+        assert math.isclose(got, 1 / (1 + math.exp(-(e @ h / e.sum() @ p["c"] + p["d"]))), rel_tol=1e-9)
+        at += n
+
+
+def test_secret_models_precision_and_recall(spark):
+    r = random.Random(11)
+    parts = "inter national configur ation setting name value docu ment token izer hand ler man ager fact ory".split()
+    key = lambda: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(20, 40)))
+    name = lambda: ("_" if r.random() < 0.5 else "").join(r.choice(parts) for _ in range(6))
+    samples = spark.createDataFrame([(key(), True) for _ in range(300)] + [(name(), False) for _ in range(300)], "value string, is_secret boolean")
+    docs = spark.createDataFrame([(i, f"see {key() if i % 2 else name()} here") for i in range(400)], "doc_id long, text string")
+    found = {x["doc_id"] for x in secrets.find_secrets(docs, samples).collect() if x["added"]}
+    true = sum(i % 2 for i in found)
+    assert true / len(found) > 0.97 and true / 200 > 0.95
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    r = random.Random(12)
+    runs = ["".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(50_000)]
+    row = secrets.find_secrets(spark.createDataFrame([(1, " ".join(runs))], "doc_id long, text string")).first()
+    assert [(s["start"], s["end"]) for s in row["base"]] == [(33 * i, 33 * i + 32) for i in range(50_000)] and not row["added"]
+
+
+def test_tokens_of_odd_characters(edges):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["н֋", "த౜", "→₝", "a\U0001fadfb", "áb́", "ſtraße İ ǅ", "x\u2028y\x85z\x1c", "ﬁ ½ ² \u0378"]
+    counter = token_counts.counter_of(public_tokenizers.path("word_bpe_49k.json"))
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert [counter.count(t) for t in odd] == list(map(count, odd))
+    for r in token_counts.count_tokens(edges).select("doc_id", "n_tokens").distinct().collect():
+        texts = [t for i, t in EDGES if i == r["doc_id"]]
+        assert r["n_tokens"] in [count(t or "") for t in texts]
+
+
+def test_lines_of_a_long_text_and_clashing_columns(spark):
+    line = lambda i: f"this boilerplate line is number {i}"
+    long = "\n".join(line(i) for i in range(30_000))
+    rows = [(d, long if d == 9 else "\n".join(line(i) for i in range(d % 3, 30_000, 3)), f"s{d}", 1, 2, 3, 4) for d in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _removal int, n_lines int, id int")
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, broadcast_rows=10).collect()}
+    assert out[9]["n_lines"] == 30_000 and out[9]["text"] == "" and out[9]["n_removed"] == 30_000 and (out[9]["_id"], out[9]["_removal"], out[9]["id"]) == (1, 2, 4)
+    assert [out[d]["n_removed"] for d in (0, 1, 2, 3)] == [0, 0, 0, 10_000]
+
+
+def test_pipeline_near_duplicates(spark, sf_dir, corpus):
+    """The stage keeps the smallest id of every group at 80 %."""
+    want = components({i: shingles(t) for i, t in corpus.items()}, 80)
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, c in want.items() if i == c}
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect())

@@ -37,3 +37,10 @@ def test_pipeline_on_edges(spark, edges, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.checkpoint(stage(spark, docs, sf_dir))
     assert docs.count() > 0
+
+
+def test_pipeline_on_an_empty_table(spark, edges, sf_dir):
+    docs = edges.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.checkpoint(stage(spark, docs, sf_dir))
+    assert docs.count() == 0
