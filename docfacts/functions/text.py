@@ -6,14 +6,20 @@ folded text an offset in the original.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and the plain letters they fold to, position by position.
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncaaaaaaeeeeiiiiooooouuuuync"
+def accented_letters() -> dict[str, str]:
+    """Precomposed Latin letters, and the lower-case plain letter that each is made of."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    return {c: d[0].lower() for c, d in parts.items() if len(d) > 1 and d[0].isascii()}
+
+
+ACCENTED, PLAIN = map("".join, zip(*accented_letters().items(), strict=True))
+MARKS = "[\u0300-\u036f]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), MARKS, "")
 
 
 def fold_in_place(text: Column) -> Column:
@@ -32,7 +38,7 @@ def fold_in_place(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case, no accents, runs of other characters as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(strip_accents(F.lower(text)), "[^a-z0-9]+", " "))
 
 
 def folded_words(text: Column) -> Column:

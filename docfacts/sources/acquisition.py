@@ -32,7 +32,9 @@ def listing(entries: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.select(F.col("id").alias("target_id"), F.col("name").alias("t_name"), F.col("is_folder").alias("t_folder"))
     resolved = entries.join(t, "target_id", "left").where(F.col("target_id").isNull() | F.col("t_name").isNotNull())
     rows = resolved.select(F.coalesce("target_id", "id").alias("id"), F.coalesce("t_name", "name").alias("name"), F.coalesce("t_folder", "is_folder").alias("is_folder")).dropDuplicates(["id"])
-    padded = F.array_join(F.transform(F.regexp_extract_all(F.lower("name"), F.lit(r"\d+|\D+"), 0), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    number = lambda p: F.concat(F.lpad(F.length(p).cast("string"), 4, "0"), p)  # noqa: E731 -- the longer number is the greater
+    parts = F.transform(F.regexp_extract_all(F.lower("name"), F.lit(r"\d+|\D+"), 0), lambda p: F.when(p.rlike(r"^\d"), number(F.regexp_replace(p, "^0+(?=\\d)", ""))).otherwise(p))
+    padded = F.array_join(parts, "")
     return rows.withColumn("sort_key", F.concat(F.when(F.col("is_folder"), "0").otherwise("1"), padded)).orderBy("sort_key")
 
 

@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docfacts.functions import text, validators, values
+from docfacts.functions.text import fold
+from docfacts.sources.acquisition import listing
 from docfacts.sources.render import italian_amount, vat_of
 
 
@@ -69,3 +71,15 @@ def test_amounts_round_trip(spark, amounts):
 def test_generated_vat_numbers_are_valid(spark, keys):
     df = spark.createDataFrame([(k,) for k in keys], "k long").select(validators.validate("vat_number_format", vat_of(F.col("k"), "1")).alias("e"))
     assert df.where("e is not null").count() == 0
+
+
+def test_fold_takes_marks_off_any_latin_letter(spark):
+    rows = spark.createDataFrame([("Kovač Erdős",), ("e\u0301te\u0301 Ångström",), ("Łódź – Çağ",), (None,)], "t string")
+    assert [r[0] for r in rows.select(fold(F.col("t"))).collect()] == ["kovac erdos", "ete angstrom", "odz cag", None]
+
+
+def test_listing_sorts_numbers_of_any_length(spark):
+    names = ["n100000000000000000000", "n20000000000000", "n3", "n010", "n9"]
+    entries = spark.createDataFrame([(i, n, False, None) for i, n in enumerate(names)], "id long, name string, is_folder boolean, target_id long")
+    rows = listing(entries, entries.drop("target_id").limit(0)).collect()
+    assert [r["name"] for r in rows] == ["n3", "n9", "n010", "n20000000000000", "n100000000000000000000"]
