@@ -84,6 +84,20 @@ def rule_states(log: DataFrame) -> DataFrame:
     return ordered.select("rule_id", "kind", "scope", "effect").mapInArrow(run, f"rule_id {rule}, status string, positive int, negative int, changes int")
 
 
+def settle(rules: DataFrame, log: DataFrame, touched: DataFrame) -> DataFrame:
+    """rule_id, before, after, reprocess_by, reprocess: status changes that the proofs of touched rules ask for, each rule once, and what to read again.
+
+    rules: rule_id, kind, status, document_type, template; log as in `rule_states`; touched: rule_id, any number of times. Only
+    candidates and active rules move; a rule whose status stays has no row. A type rule has its template read again, others their type.
+    """
+    asked = touched.select("rule_id").distinct()
+    now = rule_states(log.join(asked, "rule_id", "left_semi")).select("rule_id", F.col("status").alias("after"))
+    moved = rules.where("status in ('CANDIDATE', 'ACTIVE')").join(now, "rule_id").where("after <> status and after <> 'CANDIDATE'")
+    by_template = F.coalesce((F.col("kind") == "TEMPLATE_TYPE") & F.col("template").isNotNull(), F.lit(False))
+    by = F.when(by_template, "template").otherwise("document_type")
+    return moved.select("rule_id", F.col("status").alias("before"), "after", by.alias("reprocess_by"), F.when(by_template, F.col("template")).otherwise(F.col("document_type")).alias("reprocess"))
+
+
 def since_active(effect_rows: DataFrame, activations: DataFrame) -> DataFrame:
     """Effects strictly after the rule's last activation; all of them for a rule without one."""
     last = activations.groupBy("rule_id").agg(F.max("at").alias("active_at"))

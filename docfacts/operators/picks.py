@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfacts.functions.text import fold, let, word_bounded
+from docfacts.functions.text import collapse, fold, is_cleanup, let, word_bounded
 
 LEAST_SEPARATION, LABEL_WORDS, LEAST_LETTERS = 1.0, 3, 3
 
@@ -18,10 +18,44 @@ def union_box(boxes: Column) -> Column:
 
 
 def overlaps(a: Column, b: Column) -> Column:
-    """Horizontal overlap, and vertical overlap of half the smaller height or more."""
+    """Horizontal overlap, and vertical overlap of half the smaller height or more. A box that is null or lacks a number overlaps nothing."""
     across = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])
     down = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
-    return (across > 0) & (down >= F.least(a["h"], b["h"]) / 2)
+    whole = F.lit(True)  # least and greatest pass over nulls
+    for box in (a, b):
+        for side in "xywh":
+            whole = whole & box[side].isNotNull()
+    return whole & (across > 0) & (down >= F.least(a["h"], b["h"]) / 2)
+
+
+def lines_under(picks: DataFrame, lines: DataFrame) -> DataFrame:
+    """pick, line: the lines that a drawn box touches. picks: pick, doc_id, page, box; lines: doc_id, page, line, box."""
+    there = lines.select("doc_id", "page", "line", F.col("box").alias("line_box"))
+    return picks.join(there, ["doc_id", "page"]).where(overlaps(F.col("box"), F.col("line_box"))).select("pick", "line")
+
+
+def text_range(text: Column, wanted: Column) -> Column:
+    """struct<start, end>: where `wanted` first stands in a text, in the same letters or else in any case, whatever white space parts its words; null if nowhere or without words."""
+    words = F.filter(F.split(wanted, r"\s+"), lambda w: w != "")
+    quoted = F.transform(words, lambda w: F.regexp_replace(w, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"))
+    pattern = F.when(F.size(words) > 0, F.array_join(quoted, r"\s+"))
+
+    def found(m: Column) -> Column:
+        at = F.position(m, text)
+        return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end")))
+
+    return let(F.coalesce(F.regexp_substr(text, pattern), F.regexp_substr(text, F.concat(F.lit("(?iu)"), pattern))), found)
+
+
+def recorded_picks(edits: DataFrame) -> DataFrame:
+    """Selections that stand as evidence of a reviewer's value, with text_corrected: those that read the value, and recognised ones that the value only cleans up.
+
+    edits: text (selected), value, method (OCR or another) and what else there is. Blank values and empty selections leave none.
+    """
+    read = collapse(F.col("text"))
+    corrected = read != F.col("value")
+    kept = ~corrected | ((F.col("method") == "OCR") & is_cleanup(read, F.col("value")))
+    return edits.where("trim(value) <> ''").where(kept & (read != "")).withColumn("text_corrected", corrected)
 
 
 def occurrences_of(text: Column, value: Column) -> Column:

@@ -63,3 +63,9 @@ def cache_usage(files: DataFrame) -> DataFrame:
 def warnings(untyped: Column, source: Column, missing: Column) -> Column:
     """Codes of what a reviewer is warned of."""
     return F.array_compact(F.array(F.when(untyped, "UNTYPED"), F.when(source == "OCR", "OCR"), F.when(source == "OCR_FAILED", "OCR_FAILED"), F.when(missing > 0, "MISSING_REQUIRED")))
+
+
+def field_order(fields: DataFrame, universal: list[str]) -> DataFrame:
+    """Adds place within the document: universal fields first, in their own order, then the others by label. fields: document_id, name, label."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in universal]), F.col("name")), F.lit(0)), F.lit(len(universal) + 1))
+    return fields.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(rank, F.lower("label"), "name")))

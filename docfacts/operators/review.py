@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfacts.functions.text import fold
-from docfacts.functions.values import fold_identifier
+from docfacts.functions.values import fold_identifier, normalize_date
 
 #: Fixed values.
 DIRECTIONAL = ["accounting.fattura", "accounting.fattura_proforma", "accounting.nota_di_credito", "procurement.preventivo"]
@@ -34,9 +34,42 @@ def item_correction_kind(value: Column, corrected: Column, removed: Column) -> C
     return F.when(before.eqNullSafe(after), None).when(before.isNull(), "ADDED").when(after.isNull(), "REMOVED").otherwise("CHANGED")
 
 
-def resolve_edit(proposal: Column, edit: Column) -> Column:
-    """What a reviewer's edit leaves as correction: none if it equals the proposal."""
-    return F.when(edit.eqNullSafe(proposal), None).otherwise(F.coalesce(edit, F.lit("")))
+def normal_edit(edit: Column, is_date: bool) -> Column:
+    """An edit as it is stored: trimmed, and a text that is wholly a date as that date."""
+    return F.coalesce(normalize_date(F.trim(edit)), F.trim(edit)) if is_date else F.trim(edit)
+
+
+def resolve_edit(proposal: Column, edit: Column, is_date: bool = False) -> Column:
+    """What a reviewer's edit leaves as correction: none if it is null or equals the proposal, a blank one if it clears it."""
+    return F.nullif(normal_edit(edit, is_date), F.trim(F.coalesce(proposal, F.lit(""))))
+
+
+def resolve_item_edit(origin: Column, value: Column, corrected: Column, edit: Column, is_date: bool = False) -> Column:
+    """struct<action, value>: what an edit does to a repeated field's item. MANUAL items are deleted by a blank or null edit, the engine's
+    removed by a blank and reset by a null edit or their own value; else NONE (no change) or CORRECT."""
+    e = normal_edit(edit, is_date)
+    manual = F.when(F.coalesce(e, F.lit("")) == "", "DELETE").when(e.eqNullSafe(corrected), "NONE").otherwise("CORRECT")
+    engine = F.when(e.isNull() | (e == F.trim(F.coalesce(value, F.lit("")))), "RESET").when(e == "", "REMOVE").otherwise("CORRECT")
+    action = F.when(origin == "MANUAL", manual).otherwise(engine)
+    return F.struct(action.alias("action"), F.when(action == "CORRECT", e).alias("value"))
+
+
+def review_payloads(documents: DataFrame, fields: DataFrame) -> DataFrame:
+    """id, decision, changes (array<struct<place, name, before, after>>): what a closed review reports.
+
+    documents: id, action (SAVE or DISCARD); fields: document_id, name, item_index (null: a single field), value, corrected_value, removed.
+    A discard REJECTs; a save with changes CORRECTs, one without APPROVEs. Single fields come first (place -1), then items.
+    """
+    value, corrected = F.col("value"), F.col("corrected_value")
+    item = F.col("item_index").isNotNull()
+    single = corrected.isNotNull() & ~corrected.eqNullSafe(value)
+    changed = fields.where(F.when(item, item_correction_kind(value, corrected, F.col("removed")).isNotNull()).otherwise(single))
+    after = F.when(item, F.coalesce(F.when(~F.col("removed"), current_value(value, corrected)), F.lit(""))).otherwise(corrected)
+    before = F.when(item, F.coalesce(value, F.lit(""))).otherwise(value)
+    change = F.struct(F.coalesce("item_index", F.lit(-1)).alias("place"), "name", before.alias("before"), after.alias("after"))
+    of = changed.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(change)).alias("changes"))
+    decision = F.when(F.col("action") == "DISCARD", "REJECT").when(F.size("changes") > 0, "CORRECT").otherwise("APPROVE")
+    return documents.join(of, "id", "left").select("id", decision.alias("decision"), F.coalesce("changes", F.array().cast("array<struct<place:int,name:string,before:string,after:string>>")).alias("changes"))
 
 
 def outcome(value: Column, corrected: Column) -> Column:

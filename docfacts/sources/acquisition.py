@@ -154,3 +154,9 @@ def area_text(chars: DataFrame) -> DataFrame:
     marked = inside.withColumn("line", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order))
     lines = marked.groupBy("doc_id", "area", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "char"))), lambda c: c["char"]), "").alias("text"))
     return lines.groupBy("doc_id", "area").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda c: F.trim(c["text"])), "\n").alias("text"))
+
+
+def page_lines(lines: Column, text: Column) -> Column:
+    """A page's stored lines, or else those of its text, trimmed, without blank ones."""
+    own = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.when(F.size(lines) > 0, lines).otherwise(own)
