@@ -42,6 +42,7 @@ SLICE_ROWS = 400  # whose words are held at once
 BYTES_PER_TOKEN = 6  # about; only for the number of buckets
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 FULL_ROUNDS = 7  # words, then three a length of context: those that read whole blocks
+LATE_PLACES = 8  # buckets of blocks to one of growing tokens
 
 
 @dataclass
@@ -199,8 +200,8 @@ class Rounds:
     def __init__(self, docs: DataFrame, rules: Rules, block_tokens: int, bucket_keys: int):
         self.spark, self.rules, self.name = docs.sparkSession, rules, f"suffix_tree_{uuid.uuid4().hex}"
         tokens = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / BYTES_PER_TOKEN
-        self.places, self.buckets = max(4, int(tokens / block_tokens / 2)), max(4, int(tokens / 2 / bucket_keys))
-        self.answers = 0
+        self.places, self.buckets, self.bucket_keys = max(4, int(tokens / block_tokens / 2)), max(4, int(tokens / 2 / bucket_keys)), bucket_keys
+        self.answers, self.asked = 0, []
         self.write(encoded(docs, block_tokens), "blocks")
 
     def write(self, rows: DataFrame, name: str) -> None:
@@ -256,7 +257,10 @@ class Rounds:
         self.answers += 1
         del sent, sums
         self.spark.sparkContext._jvm.System.gc()  # so that Spark deletes the shuffle files of answered rounds
-        return self.spark.table(f"{self.name}_{answers}").agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
+        self.asked.append(self.spark.table(f"{self.name}_{answers}").agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0])
+        if table == "rest":
+            self.buckets = min(self.buckets, max(4, 2 * max(self.asked[-3:]) // self.bucket_keys))
+        return self.asked[-1]
 
     def rest(self) -> None:
         """The table of the tokens that are still growing."""
@@ -265,7 +269,9 @@ class Rounds:
         def use(get: Callable, replies: list[np.ndarray], row: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([row.column("block"), *Block(get).walk(replies, rules)[1].binaries()], ["block", *names])
 
-        self.write(self.each_block(use, ", ".join(["block long", *[f"{n} binary" for n in names]])), "rest")
+        grown = self.each_block(use, ", ".join(["block long", *[f"{n} binary" for n in names]]))
+        self.places = max(4, self.places // LATE_PLACES)
+        self.write(grown, "rest")
 
     def late_probabilities(self) -> DataFrame:
         """block, late_at, late_p: of the tokens that grew beyond the full rounds."""
