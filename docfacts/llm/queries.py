@@ -6,6 +6,7 @@ from docfacts.llm import decontamination, line_dedup
 from docfacts.llm.fingerprints import op6_document_fingerprints
 from docfacts.llm.near_dedup import op7_near_dedup
 from docfacts.llm.packing import op5_packing
+from docfacts.llm.periodic_runs import op11_periodic_runs
 from docfacts.llm.quality import op1_quality_classifier
 from docfacts.llm.secrets import op2_secret_scan
 from docfacts.llm.suffix_tree import op9_lm_scoring
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontamination.ORACLE_SQL,
