@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docfacts.llm import decontamination, line_dedup
+from docfacts.llm import decontamination, lexical_search, line_dedup
 from docfacts.llm.fingerprints import op6_document_fingerprints
 from docfacts.llm.near_dedup import op7_near_dedup
 from docfacts.llm.packing import op5_packing
@@ -25,8 +25,10 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
