@@ -6,13 +6,13 @@ those, get an exact distinct count. Boilerplate lines are removed from all texts
 lowest doc_id (and line) stays, so that no content goes altogether.
 
 Main path: DataFrame functions alone. Sketches, not site lists, are shuffled, so a line that every document has costs one
-small row a task. What is to be removed, as line numbers, is joined by doc_id; a text's lines are kept by a set difference of numbers, linear in
+small row a task. What is to be removed, as line numbers, is joined by doc_id and text hash; a text's lines are kept by a set difference of numbers, linear in
 its length. The set of boilerplate lines is broadcast if it has at most `broadcast_rows` rows and joined by shuffle else, each line
 in `SALTS` copies, so that a line of all documents is spread over as many tasks.
 
 Nulls: a null text is empty, a null site is a site of its own. Rows with a null doc_id are counted, and stay as they are.
-Lines of fewer than `min_words` words are left alone. Repeated rows: each counts, all rows of an id are cleaned alike.
-A text that is boilerplate throughout becomes empty; its row stays. Other columns pass through, whatever their names; only text, n_lines and
+Lines of fewer than `min_words` words are left alone. Repeated rows: each counts; rows of an id are cleaned each by the lines of its own text, and with
+`keep_first` the lowest doc_id's line stays in every text of that id that has it in that place. A text that is boilerplate throughout becomes empty; its row stays. Other columns pass through, whatever their names; only text, n_lines and
 n_removed are set.
 """
 
@@ -38,8 +38,8 @@ def counted_line(line: Column, min_words: int) -> Column:
 
 def lines_of(docs: DataFrame, site: str, min_words: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    exploded = docs.select("doc_id", F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return exploded.where(counted_line(F.col("line"), min_words)).select("doc_id", "site", "pos", line_key(F.col("line")).alias("key"))
+    exploded = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return exploded.where(counted_line(F.col("line"), min_words)).select("doc_id", "mark", "site", "pos", line_key(F.col("line")).alias("key"))
 
 
 def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, min_words: int = 4, lg_k: int = 12) -> DataFrame:
@@ -65,10 +65,11 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, min_w
         salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
     stays = F.lit(keep_first) & (F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
-    removal = hits.where(~F.coalesce(stays, F.lit(False))).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("pos").alias("gone"))
+    removal = hits.where(~F.coalesce(stays, F.lit(False))).groupBy(F.col("doc_id").alias("id"), "mark").agg(F.collect_set("pos").alias("gone"))
 
-    rows = docs.select(F.struct("*").alias("doc"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
-    joined = rows.join(removal.hint("shuffle_hash"), F.col("doc.doc_id") == F.col("id"), "left")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("doc"), F.split(whole, "\n").alias("lines"), F.xxhash64(whole).alias("own"))
+    joined = rows.join(removal.hint("shuffle_hash"), (F.col("doc.doc_id") == F.col("id")) & (F.col("own") == F.col("mark")), "left")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.transform(numbers, lambda i: F.get("lines", i)), "\n"))
     new = {"text": text, "n_lines": F.size("lines").cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
@@ -83,10 +84,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH numbered AS (
+  SELECT *, row_number() OVER () AS rn FROM documents
+), lines AS (
+  SELECT rn, doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents
+  FROM numbered
 ), keyed AS (
   SELECT *, CASE WHEN regexp_matches(line, '([^ ]+ +){3}[^ ]') THEN lower(trim(line, ' ')) END AS key FROM lines
 ), common AS (
@@ -96,5 +99,5 @@ WITH lines AS (
 )
 SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS clean_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rn, doc_id
 """

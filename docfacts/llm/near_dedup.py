@@ -8,10 +8,9 @@ of the layers done: most documents stop after one or two of them.
 1. Rows of equal word sequences form a class, numbered by the smallest of its rows.
 2. Signatures are cut into bands. Classes that share a band are linked to the smallest of the bucket (a star, never
    all pairs), and the stars' connected components are the candidate groups.
-3. Each candidate group is verified on full shingle sets. Groups of up to `block` documents and `block_bytes` of text, many a task, are
-   done in one piece; a larger group is dealt out as pairs of blocks, so no task holds more than two blocks. A block emits the links that
-   join its components, not all pairs. A group that hangs together like a chain, so that its buckets have fewer pairs
-   than the whole, is verified bucket by bucket instead: its cost is that of its buckets.
+3. Each candidate group is verified on full shingle sets, as similar_groups says: small groups in one piece, large ones by hubs first and then by what they
+   leave apart. A group that hangs together like a chain, so that its buckets have fewer pairs than the whole, is verified bucket by
+   bucket instead: its cost is that of its buckets.
 4. Connected components of the verified links, and of classes that share a doc_id, give component_id.
 
 With 26 bands of 6 components, a pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**26 = 5e-6, and
@@ -30,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -38,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.llm.common import WordHashes, checkpoint, documents, mix64, read_table, shingle_hashes, words_of
+from docfacts.llm.similar_groups import connected_components, labelled_rows, link_groups, links_sql, text_fetcher
 
 BANDS, ROWS = 26, 6
 SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & (2**64 - 1)) for i in range(256)]  # of the layers
@@ -109,94 +108,6 @@ def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return marked.mapInArrow(run, "row long, doc_id long, mark long, size long, digest binary, n_shingles long, bands array<long>")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component): component is the smallest id reachable; edges (a, b) of longs. Alternating stars.
-
-    Minima are checkpointed before they are joined back, so that a join reads both sides by shuffles of its own and a hub with a
-    large part of all edges can be split at run time.
-    """
-    edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = checkpoint(large.where("a <> b").distinct())
-        low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = checkpoint(small.where("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        seen = state
-
-
-def unite(parent: list[int], a: int, b: int) -> bool:
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    a, b = root(a), root(b)
-    if a == b:
-        return False
-    parent[max(a, b)] = min(a, b)
-    return True
-
-
-def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Index pairs with 100 * intersection >= percent * union: intersections by an inverted index over the shared shingles."""
-    from_right = right is not None
-    right = right if from_right else left
-    n_left, n_right = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    shingles, of = np.concatenate(right), np.repeat(np.arange(len(right)), n_right)
-    order = np.argsort(shingles, kind="stable")
-    shingles, of = shingles[order], of[order]
-    for i, s in enumerate(left):
-        low = i + 1 if not from_right else 0
-        shared = np.zeros(len(right), np.int64)
-        for lo in range(0, len(s), 2000):  # bounds the postings held at once
-            part = s[lo : lo + 2000]
-            begin, end = np.searchsorted(shingles, part, "left"), np.searchsorted(shingles, part, "right")
-            spans = np.repeat(begin - np.concatenate([[0], np.cumsum(end - begin)[:-1]]), end - begin) + np.arange(int((end - begin).sum()))
-            shared += np.bincount(of[spans], minlength=len(right))
-        good = 100 * shared >= percent * (n_left[i] + n_right - shared)
-        good[:low] = False
-        for j in np.nonzero(good)[0].tolist():
-            yield i, j
-
-
-def verified_links(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links (a, b) that connect what is similar within each group; members are (grp, blocks, cid, text); groups of one block are dealt to `parts` keys."""
-    sized = members.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    all_pairs = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    dealt = sized.withColumn("pair", F.explode(F.when(F.col("blocks") == 1, one).otherwise(all_pairs)))
-
-    shared = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.pmod(F.xxhash64("grp"), F.lit(parts).cast("long")).alias("c"))
-    key = F.when(F.col("blocks") == 1, shared).otherwise(F.struct("pair.i", "pair.j", F.xxhash64("grp").alias("c")))
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes, found = WordHashes(), []
-        for _, group in rows.groupby(["chained", "g"], sort=False):
-            group = group.sort_values("cid")
-            ids, own = group["cid"].tolist(), group["own"].to_numpy()
-            sets = [shingle_hashes(words_of(t), hashes) for t in group["text"]]
-            parent = list(range(len(ids)))
-            i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-            if i == j:
-                pairs = similar_pairs(sets, None, percent)
-            else:
-                a, b = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
-                pairs = ((int(a[x]), int(b[y])) for x, y in similar_pairs([sets[x] for x in a], [sets[y] for y in b], percent)) if len(a) and len(b) else ()
-            found += [(ids[x], ids[y]) for x, y in pairs if unite(parent, x, y)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    rows = dealt.select(key.alias("key"), "grp.chained", "grp.g", "cid", "own", "text", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-    return rows.groupBy("key").applyInPandas(link, "a long, b long")
-
-
 def candidate_groups(classes: DataFrame, block: int, block_bytes: int) -> DataFrame:
     """cid, grp (chained, g), blocks: the groups in which each class is verified, and the blocks that each group is dealt to.
 
@@ -226,24 +137,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n_bands: int = BANDS, ba
     classes = marks.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.min(F.struct("row", "doc_id", "mark", "size")).alias("rep"), F.first("bands").alias("bands"))
     classes = checkpoint(classes.select("digest", "low", F.col("rep.row").alias("cid"), F.col("rep.doc_id").alias("id"), "rep.mark", "rep.size", "bands"))
     grouped = checkpoint(candidate_groups(classes, block, block_bytes).join(classes.select("cid", "id", "mark", "size"), "cid"))
-    in_groups, in_bytes = grouped.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    wanted = F.broadcast(grouped.drop("size")) if in_groups <= broadcast_rows else grouped.drop("size")
-    members = rows.withColumn("own_mark", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")))
-    members = members.select("grp", "blocks", "cid", "text").dropDuplicates(["grp", "cid"])
-    links = verified_links(members, percent, 1 + 2 * max(in_groups // block, in_bytes // block_bytes))
-
-    named = marks.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest").distinct()
-    several = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("least")).where("n > 1").select("doc_id", "least")
-    numbers = classes.select("digest", "cid")
-    same_id = named.join(checkpoint(several), "doc_id").join(numbers, "digest").join(numbers.toDF("least", "b"), "least").select(F.col("cid").alias("a"), "b")
-
-    linked = connected_components(links.unionByName(same_id))
-    groups = checkpoint(classes.select("digest", "cid", "low").join(linked, F.col("cid") == F.col("id"), "left").select("digest", "low", F.coalesce("component", "cid").alias("g")))
-    lowest = groups.groupBy("g").agg(F.min("low").alias("component_id"))
-    out = marks.select("doc_id", "digest", "n_shingles").join(groups.join(lowest, "g").select("digest", "component_id"), "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    links = link_groups(grouped, text_fetcher(rows, broadcast_rows), percent, block, block_bytes)
+    out = labelled_rows(marks, classes, links)
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({links_sql(85)})"

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from docfacts.llm import decontamination, lexical_search, line_dedup
+from docfacts.llm import decontamination, lexical_search, line_dedup, near_dedup, ngram_join
 from docfacts.llm.fingerprints import op6_document_fingerprints
-from docfacts.llm.near_dedup import op7_near_dedup
 from docfacts.llm.packing import op5_packing
 from docfacts.llm.periodic_runs import op11_periodic_runs
 from docfacts.llm.quality import op1_quality_classifier
@@ -20,15 +19,18 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
-    "op7_near_dedup": op7_near_dedup,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_ngram_jaccard_join": ngram_join.op12_ngram_jaccard_join,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontamination.ORACLE_SQL,
+    "op7_near_dedup": near_dedup.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
