@@ -17,23 +17,48 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfacts.llm.common import WordHashes, checkpoint, mix64, shingle_hashes, words_of
 
 HUBS = 16
+SMALL_GRAPH = 1_000_000  # edges; 16 MB
 #: Token orders within a task: rarest in the task first, and two hash orders.
 PREFIX_ORDERS = ("rare", 0xA5A5_1234, 0x5EED_0DD5)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component): component is the smallest id reachable; edges (a, b) of longs. Alternating stars.
+def small_components(edges: DataFrame) -> DataFrame:
+    """connected_components of a bounded number of edges, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        ids = [x for x in parent if root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "id long, component long")
+
+
+def connected_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(id, component): component is the smallest id reachable; edges (a, b) of longs. Alternating stars; up to `small` edges are done in one task.
 
     Minima are checkpointed before they are joined back, so that a join reads both sides by shuffles of its own and a hub with a
     large part of all edges can be split at run time.
     """
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if edges.count() <= small:
+        return checkpoint(small_components(edges))
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

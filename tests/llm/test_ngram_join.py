@@ -13,7 +13,7 @@ from .conftest import BASE, EDGES, prose
 from .test_brute_force import components, shingles
 
 
-@pytest.mark.parametrize("block", [1500, 3])
+@pytest.mark.parametrize("block", [1500, 10])
 def test_join_against_all_pairs(spark, sf_dir, block):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sets = {r["doc_id"]: shingles(r["text"] or "") for r in docs.collect()}
@@ -38,7 +38,7 @@ def variants(n, words, edits, seed):
 def test_dense_groups_in_small_blocks(spark, operator, percent):
     texts = variants(150, 200, (0, 1, 2, 3, 4, 9, 14), 7) + variants(60, 60, (0, 1, 2, 6), 8)
     sets = {i: shingles(t) for i, t in enumerate(texts)}
-    rows = operator(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=8).collect()
+    rows = operator(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=40).collect()
     want = components(sets, percent)
     assert {r["doc_id"]: r["component_id"] for r in rows} == want and 1 < len(set(want.values())) < 200
 
@@ -107,3 +107,15 @@ def test_null_ids_and_texts_of_one_id(spark):
     rows = [(7, a), (7, b), (8, near(a)), (9, near(b)), (4, BASE), (None, near(b)), (None, "one two"), (3, "TWO one"), (2, "one\ttwo")]
     out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("token", F.lit("clash"))).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in out) == [(0, 2), (0, 7), (2, 2), (3, 3), (4, 4), (7, 7), (7, 7), (8, 7), (9, 7)]
+
+
+def test_components_by_stars_and_in_one_task(spark):
+    r = random.Random(9)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(30)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, stars = (sorted(similar_groups.connected_components(df, small).collect()) for small in (10**6, 0))
+    low = {x: x for e in edges for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    assert one == stars == sorted((x, c) for x, c in low.items() if x != c)
