@@ -83,8 +83,8 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_hashes(words: list[bytes], hashes: WordHashes, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the `size`-word shingles; fewer words make one shingle, no words none."""
+def shingle_sequence(words: list[bytes], hashes: WordHashes, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """64-bit hashes of the `size`-word shingles in order, repeats included; fewer words make one shingle, no words none."""
     n = len(words)
     if n == 0:
         return np.empty(0, np.uint64)
@@ -93,4 +93,9 @@ def shingle_hashes(words: list[bytes], hashes: WordHashes, size: int = SHINGLE_W
     h = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w[i : n - width + 1 + i])
-    return np.unique(h)
+    return h
+
+
+def shingle_hashes(words: list[bytes], hashes: WordHashes, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_sequence(words, hashes, size))

@@ -7,7 +7,7 @@ stay apart costs r * n comparisons, not n * n, and each text is sent once for ev
 
 Within a task documents are taken one by one, hubs first, and compared only with those that aren't connected with them yet. A pair is compared
 if it passes the prefix filter under several token orders (see `PREFIX_ORDERS`): of sets with a similarity of t or more, the n - ceil(t * n) + 1 first
-tokens of both share one, whatever the order. Then the whole sets are counted. So no link between components is lost, and links
+tokens of both have `shared_least` in common, whatever the order. Then the whole sets are counted. So no link between components is lost, and links
 within a component aren't spelled out.
 """
 
@@ -78,6 +78,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def shared_least(n: np.ndarray, other: int, percent: int) -> np.ndarray:
+    """How many prefix tokens two similar sets of these sizes have in common at least: their overlap, less what the longer rest holds."""
+    overlap = -(-percent * (n + other) // (100 + percent))
+    return np.maximum(overlap - -(-percent * np.maximum(n, other) // 100) + 1, 1)
+
+
 def first_tokens(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """The prefix of a set under the order that `rank` gives."""
     k = prefix_length(len(tokens), percent)
@@ -85,7 +91,7 @@ def first_tokens(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarr
 
 
 class PrefixIndex:
-    """Which sets share a prefix token with a set, under one order."""
+    """The prefixes of sets under one order, by token."""
 
     def __init__(self, sets: list[np.ndarray], order: str | int, percent: int):
         if order == "rare":
@@ -100,13 +106,14 @@ class PrefixIndex:
         by_token = np.argsort(flat, kind="stable")
         self.tokens, self.owner = flat[by_token], owner[by_token]
 
-    def sharing(self, i: int) -> np.ndarray:
-        mask, prefix = np.zeros(len(self.prefixes), bool), self.prefixes[i]
+    def shared(self, i: int) -> np.ndarray:
+        """How many prefix tokens each set has in common with set i."""
+        count, prefix = np.zeros(len(self.prefixes), np.int64), self.prefixes[i]
         begin, end = np.searchsorted(self.tokens, prefix, "left"), np.searchsorted(self.tokens, prefix, "right")
         for b, e in zip(begin.tolist(), end.tolist(), strict=True):
             if e - b > 1:
-                mask[self.owner[b:e]] = True
-        return mask
+                count[self.owner[b:e]] += 1
+        return count
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -128,8 +135,9 @@ def joining_links(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray |
         if not other.any():
             continue
         orders = orders or [PrefixIndex(sets, o, percent) for o in PREFIX_ORDERS]
+        least = shared_least(size, size[i], percent)
         for order in orders:
-            other &= order.sharing(i)
+            other &= order.shared(i) >= least
             if not other.any():
                 break
         for j in np.nonzero(other)[0].tolist():

@@ -7,14 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from docfacts.llm import near_dedup, ngram_join, similar_groups
-from docfacts.llm.common import WordHashes, shingle_hashes, words_of
+from docfacts.llm.common import WordHashes, shingle_hashes
 
 from .conftest import BASE, EDGES, prose
 from .test_brute_force import components, shingles
 
 
-@pytest.mark.parametrize("block", [1500, 10])
-def test_join_against_all_pairs(spark, sf_dir, block):
+@pytest.mark.parametrize(("block", "bucket"), [(1500, 32), (10, 2)])
+def test_join_against_all_pairs(spark, sf_dir, block, bucket, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", bucket)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sets = {r["doc_id"]: shingles(r["text"] or "") for r in docs.collect()}
     want = components(sets, 80)
@@ -82,14 +83,19 @@ def test_links_of_random_sets():
 
 def test_prefixes_of_similar_sets_meet_under_any_order():
     r, hashes = random.Random(4), WordHashes()
-    frequent = np.sort(np.array([r.getrandbits(63) for _ in range(5)], np.uint64))
     for n in (5, 6, 9, 30, 200):
-        w = prose(n, n).split()
-        a, b = (shingle_hashes(words_of(" ".join(x)), hashes) for x in (w, w[: n - n // 25] + ["other"] * (n // 25)))
-        if 100 * (k := similar_groups.common(a, b)) >= 80 * (len(a) + len(b) - k):
-            for order in ngram_join.ORDERS:
-                for hot in (frequent, np.sort(a[::2]), np.empty(0, np.uint64)):
-                    assert set(ngram_join.prefix(a, hot, order, 80).tolist()) & set(ngram_join.prefix(b, hot, order, 80).tolist())
+        w = prose(n, n).encode().split()
+        other = w[: n - n // 25] + [b"other"] * (n // 25)
+        a, b = (shingle_hashes(x, hashes) for x in (w, other))
+        if 100 * (k := similar_groups.common(a, b)) < 80 * (len(a) + len(b) - k):
+            continue
+        words = np.unique([hashes[x] for x in w]).astype(np.uint64)
+        for copied in (np.array([r.getrandbits(63)], np.uint64), a[::2], a[:0]):
+            for counts in (np.ones(len(words)), np.array([r.randrange(1, 10**6) for _ in words])):
+                known = ngram_join.Frequencies(copied, words, counts)
+                (s, p), (t, q) = (ngram_join.prefix(x, hashes, known, 80) for x in (w, other))
+                assert s.tolist() == a.tolist() and t.tolist() == b.tolist()
+                assert len(set(p.tolist()) & set(q.tolist())) >= similar_groups.shared_least(np.array([len(a)]), len(b), 80)[0]
 
 
 def test_edges(spark, edges, nothing):
