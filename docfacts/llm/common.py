@@ -83,12 +83,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_sequence(words: list[bytes], hashes: WordHashes, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """64-bit hashes of the `size`-word shingles in order, repeats included; fewer words make one shingle, no words none."""
-    n = len(words)
+def word_hashes(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_sequence(w: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """64-bit hashes of the `size`-word shingles in order, repeats included, from hashes of words; fewer words make one shingle, no words none."""
+    n = len(w)
     if n == 0:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+        return w
     width = min(size, n)
     h = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
@@ -98,4 +101,4 @@ def shingle_sequence(words: list[bytes], hashes: WordHashes, size: int = SHINGLE
 
 def shingle_hashes(words: list[bytes], hashes: WordHashes, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
-    return np.unique(shingle_sequence(words, hashes, size))
+    return np.unique(shingle_sequence(word_hashes(words, hashes), size))

@@ -213,8 +213,8 @@ def text_fetcher(rows: DataFrame, broadcast_rows: int) -> Callable[[DataFrame],
 
 def sized_groups(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
     """Adds blocks (that a group is dealt to) to grp, cid, size, ..."""
-    whole = members.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_bytes, F.lit(1))).alias("blocks"))
-    return members.join(whole, "grp")
+    whole = checkpoint(members.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_bytes, F.lit(1))).alias("blocks")))
+    return members.join(F.broadcast(whole) if whole.count() <= SMALL_GRAPH else whole, "grp")
 
 
 def labelled_rows(marks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
