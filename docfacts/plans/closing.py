@@ -44,12 +44,15 @@ def resolved_items(spark, sf_dir):
 
 
 def settled_rules(spark, sf_dir):
-    """Users' rules, all candidates yet, of which those with a purchase are touched. SQL has no such state machine: the tests hold it against a plain loop."""
+    """Users' rules: active since their last purchase, if they have one, else candidates, and every ninth rejected. Those of users with a signup are touched."""
+    events = read(spark, sf_dir, "events")
+    purchases = events.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("rule_id")).agg(F.max("ts").alias("active_at"))
     log = proofs_of(spark, sf_dir)
     template = F.when(F.col("scope") == "TEMPLATE", F.concat(F.lit("t"), (F.col("rule_id") % 5).cast("string")))
-    rules = log.select("rule_id", "kind", "scope").distinct().select("rule_id", "kind", F.lit("CANDIDATE").alias("status"), F.concat(F.lit("type."), (F.col("rule_id") % 7).cast("string")).alias("document_type"), template.alias("template"))
-    touched = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("rule_id"))
-    return learning.settle(rules, log, touched)
+    status = F.when(F.col("rule_id") % 9 == 8, "REJECTED").when(F.col("active_at").isNotNull(), "ACTIVE").otherwise("CANDIDATE")
+    rules = log.select("rule_id", "kind", "scope").distinct().join(purchases, "rule_id", "left")
+    rules = rules.select("rule_id", "kind", "scope", status.alias("status"), F.concat(F.lit("type."), (F.col("rule_id") % 7).cast("string")).alias("document_type"), template.alias("template"), "active_at")
+    return learning.settle(rules, learning.effects(log), events.where("event_type <> 'click'").select(F.col("user_id").alias("rule_id")))
 
 
 def parts_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +157,16 @@ w AS (SELECT doc_id, page, lang, list_filter(string_split(trim(regexp_replace(st
 """
 QUERIES = {f.__name__: f for f in (review_payloads, resolved_edits, resolved_items, settled_rules, learned_labels, remembered_types, first_page_fingerprints, picked_lines, text_ranges, recorded_picks, page_lines, field_order, index_rows, postings_by_prefix, search_postings)}
 ORACLE_SQL = {
+    "settled_rules": """WITH log AS (SELECT user_id AS rule_id, event_id % 50 AS document_key, event_type = 'error' AS no, ts AS t, event_id AS seq FROM events),
+        e AS (SELECT rule_id, bool_or(no) AS no, coalesce(min(row(t, seq)) FILTER (no), min(row(t, seq))) AS m FROM log GROUP BY rule_id, document_key),
+        a AS (SELECT user_id AS rule_id, max(ts) AS active_at FROM events WHERE event_type = 'purchase' GROUP BY 1),
+        r AS (SELECT rule_id, rule_id % 3 = 0 AS by_type, rule_id % 2 = 0 AS of_template, active_at IS NOT NULL AS active, count(*) FILTER (NOT no) AS p, count(*) FILTER (no) AS n,
+          list(no ORDER BY m DESC) FILTER (active_at IS NULL OR m[1] > active_at) AS later
+          FROM e LEFT JOIN a USING (rule_id) WHERE rule_id % 9 <> 8 AND rule_id IN (SELECT user_id FROM events WHERE event_type <> 'click') GROUP BY rule_id, active_at),
+        s AS (SELECT *, NOT active AND CASE WHEN by_type THEN p >= 3 AND n = 0 WHEN of_template THEN p >= 2 AND n = 0 ELSE p >= 3 AND p / (p + n) >= 0.9 END AS up,
+          active AND CASE WHEN by_type THEN coalesce(list_contains(later, true), false) ELSE coalesce(later[1] AND later[2], false) OR (coalesce(len(later), 0) >= 5 AND len(list_filter(later, lambda x: NOT x)) / len(later) < 0.7) END AS down FROM r)
+        SELECT rule_id, CASE WHEN up THEN 'CANDIDATE' ELSE 'ACTIVE' END AS before, CASE WHEN up THEN 'ACTIVE' ELSE 'SUSPENDED' END AS after, CASE WHEN up THEN 'RULE_PROMOTED' ELSE 'RULE_SUSPENDED' END AS action,
+          CASE WHEN by_type AND of_template THEN 'template' ELSE 'document_type' END AS reprocess_by, CASE WHEN by_type AND of_template THEN 't' || rule_id % 5 ELSE 'type.' || rule_id % 7 END AS reprocess FROM s WHERE up OR down""",
     "review_payloads": FIELDS + """, c AS (
           SELECT document_id, CASE WHEN role IS NULL THEN substr(name, 7, 1)::INT ELSE -1 END AS place, name, CASE WHEN role IS NULL THEN coalesce(value, '') ELSE value END AS before,
             CASE WHEN role IS NULL THEN coalesce(CASE WHEN part % 29 <> 0 THEN now END, '') ELSE corrected END AS after FROM f

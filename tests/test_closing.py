@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from docfacts.operators import learning, picks, queue, review, search, templates
 from docfacts.plans import closing
-from docfacts.plans.learning import proofs_of
 from docfacts.sources import acquisition
 
 CHANGES = "document_id long, name string, item_index int, value string, corrected_value string, removed boolean"
@@ -40,39 +39,43 @@ def test_resolved_items(spark, origin, value, corrected, edit, want):
     assert tuple(got) == want
 
 
-def test_settle(spark):
-    proofs = [(1, "FIELD_ANCHOR", "CLASS", "POSITIVE"), (2, "TEMPLATE_TYPE", "TEMPLATE", "POSITIVE"), (3, "FIELD_ANCHOR", "CLASS", "NEGATIVE"), (4, "FIELD_ANCHOR", "CLASS", "POSITIVE"), (5, "TEMPLATE_TYPE", "CLASS", "POSITIVE")]
-    log = spark.createDataFrame([(*p, i, i) for i in range(3) for p in proofs], "rule_id long, kind string, scope string, effect string, at long, seq long")
-    rules = spark.createDataFrame([(1, "FIELD_ANCHOR", "CANDIDATE", "d1", None), (2, "TEMPLATE_TYPE", "CANDIDATE", "d2", "t2"), (3, "FIELD_ANCHOR", "CANDIDATE", "d3", None), (4, "FIELD_ANCHOR", "REJECTED", "d4", None), (5, "TEMPLATE_TYPE", "ACTIVE", "d5", None)], "rule_id long, kind string, status string, document_type string, template string")
-    touched = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,), (5,), (9,)], "rule_id long")
-    got = sorted(tuple(r) for r in learning.settle(rules, log, touched).collect())
-    assert got == [(1, "CANDIDATE", "ACTIVE", "document_type", "d1"), (2, "CANDIDATE", "ACTIVE", "template", "t2")]
-    assert learning.settle(rules, log, touched.limit(0)).count() == 0
-
-
-def test_settled_rules(spark, sf_dir):
-    """Touched users' rules, against a loop over each one's events."""
-    proofs = {}
-    for r in proofs_of(spark, sf_dir).orderBy("at", "seq").collect():
-        proofs.setdefault(r["rule_id"], (r["kind"], r["scope"], []))[2].append(r["effect"])
-    touched = {r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select("user_id").collect()}
-    want = {}
-    for rule, (kind, scope, effects) in proofs.items():
-        yes = no = 0
-        status, later = "CANDIDATE", []
-        for e in effects:
-            yes, no = yes + (e == "POSITIVE"), no + (e == "NEGATIVE")
-            if status == "ACTIVE":
-                later.append(e)
-                if ("NEGATIVE" in later) if kind == "TEMPLATE_TYPE" else later[-2:] == ["NEGATIVE"] * 2 or (len(later) >= 5 and later.count("POSITIVE") / len(later) < 0.7):
-                    status = "SUSPENDED"
-            elif status == "CANDIDATE" and ((yes >= 3 and no == 0) if kind == "TEMPLATE_TYPE" else yes >= 2 and no == 0 if scope == "TEMPLATE" else yes >= 3 and yes / (yes + no) >= 0.9):
-                status = "ACTIVE"
-        if status != "CANDIDATE" and rule in touched:
-            by_template = kind == "TEMPLATE_TYPE" and scope == "TEMPLATE"
-            want[rule] = (status, "template" if by_template else "document_type", f"t{rule % 5}" if by_template else f"type.{rule % 7}")
-    got = {r["rule_id"]: (r["after"], r["reprocess_by"], r["reprocess"]) for r in closing.settled_rules(spark, sf_dir).collect()}
-    assert want and got == want
+RULES = "rule_id long, kind string, scope string, status string, document_type string, template string, active_at long"
+
+
+def settled(spark, rule, effects, touched=True):
+    """The status after settling one rule with effects at times 0, 1, ..."""
+    rows = [(1, {"+": "POSITIVE", "-": "NEGATIVE"}[e], i, i) for i, e in enumerate(effects)]
+    log = spark.createDataFrame(rows, "rule_id long, effect string, at long, seq long")
+    asked = spark.createDataFrame([(1,), (1,)] if touched else [(2,)], "rule_id long")
+    out = learning.settle(spark.createDataFrame([(1, *rule)], RULES), log, asked).collect()
+    return out[0]["after"] if out else rule[2]
+
+
+@pytest.mark.parametrize(("kind", "scope", "status", "active_at", "effects", "want"), [
+    ("EXTRACTION_ANCHOR", "CLASS", "CANDIDATE", None, "++", "CANDIDATE"), ("EXTRACTION_ANCHOR", "CLASS", "CANDIDATE", None, "+++", "ACTIVE"), ("EXTRACTION_ANCHOR", "CLASS", "CANDIDATE", None, "+++-", "CANDIDATE"),
+    ("EXTRACTION_ANCHOR", "TEMPLATE", "CANDIDATE", None, "++", "ACTIVE"), ("EXTRACTION_ANCHOR", "TEMPLATE", "CANDIDATE", None, "++-", "CANDIDATE"), ("TEMPLATE_TYPE", "TEMPLATE", "CANDIDATE", None, "+++", "ACTIVE"),
+    # three confirmations, two denials, reactivated by hand after them, one more confirmation: only what came after counts
+    ("EXTRACTION_ANCHOR", "CLASS", "ACTIVE", 4, "+++--+", "ACTIVE"), ("EXTRACTION_ANCHOR", "CLASS", "ACTIVE", 4, "+++--+--", "SUSPENDED"), ("EXTRACTION_ANCHOR", "CLASS", "ACTIVE", 4, "+++---", "ACTIVE"),
+    ("EXTRACTION_ANCHOR", "CLASS", "ACTIVE", None, "+-+-+", "SUSPENDED"), ("EXTRACTION_ANCHOR", "CLASS", "ACTIVE", None, "+-+-", "ACTIVE"), ("TEMPLATE_TYPE", "TEMPLATE", "ACTIVE", 1, "+-++", "ACTIVE"), ("TEMPLATE_TYPE", "TEMPLATE", "ACTIVE", 0, "+-++", "SUSPENDED"),
+    ("EXTRACTION_ANCHOR", "CLASS", "REJECTED", None, "++++", "REJECTED"), ("EXTRACTION_ANCHOR", "CLASS", "SUSPENDED", None, "++++", "SUSPENDED"), ("EXTRACTION_ANCHOR", "CLASS", "ACTIVE", 0, "", "ACTIVE"),
+])
+def test_settle(spark, kind, scope, status, active_at, effects, want):
+    assert settled(spark, (kind, scope, status, "d", "t", active_at), effects) == want
+
+
+def test_settle_says_what_to_read_again(spark):
+    rules = spark.createDataFrame([(1, "EXTRACTION_ANCHOR", "CLASS", "CANDIDATE", "d1", None, None), (2, "TEMPLATE_TYPE", "TEMPLATE", "CANDIDATE", "d2", "t2", None), (3, "TEMPLATE_TYPE", "CLASS", "ACTIVE", "d3", None, None)], RULES)
+    log = spark.createDataFrame([(r, "NEGATIVE" if r == 3 else "POSITIVE", i, i) for r in (1, 2, 3) for i in range(3)], "rule_id long, effect string, at long, seq long")
+    got = sorted(tuple(r) for r in learning.settle(rules, log, rules.select("rule_id")).collect())
+    assert got == [(1, "CANDIDATE", "ACTIVE", "RULE_PROMOTED", "document_type", "d1"), (2, "CANDIDATE", "ACTIVE", "RULE_PROMOTED", "template", "t2"), (3, "ACTIVE", "SUSPENDED", "RULE_SUSPENDED", "document_type", "d3")]
+    assert learning.settle(rules, log, rules.select("rule_id").limit(0)).count() == 0
+
+
+def test_effects_are_one_a_document(spark):
+    """Ten confirmations of one document are one; a denial overrides, at the time of its first event."""
+    rows = [(1, 7, "POSITIVE", i, i) for i in range(10)] + [(1, 8, e, i, i) for i, e in enumerate(("POSITIVE", "NEGATIVE", "POSITIVE", "NEGATIVE"))]
+    got = sorted(tuple(r) for r in learning.effects(spark.createDataFrame(rows, "rule_id long, document_key long, effect string, at long, seq long")).collect())
+    assert got == [(1, 7, "POSITIVE", 0, 0), (1, 8, "NEGATIVE", 1, 1)]
 
 
 @pytest.mark.parametrize(("text", "wanted", "want"), [

@@ -1,6 +1,7 @@
 """Every query with a DuckDB form gives its rows; the others hold against plain loops."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -59,35 +60,24 @@ def fold(kind, scope, proofs):
     return status, p, n
 
 
-def test_rule_status(spark, sf_dir):
-    from docfacts.plans.learning import proofs_of
-
-    log = {}
-    for r in sorted(proofs_of(spark, sf_dir).collect(), key=lambda r: (r["at"], r["seq"])):
-        log.setdefault((r["rule_id"], r["kind"], r["scope"]), []).append(r["effect"])
-    want = {rule: fold(kind, scope, proofs) for (rule, kind, scope), proofs in log.items()}
-    got = {r["rule_id"]: (r["status"], r["positive"], r["negative"]) for r in catalogue.QUERIES["rule_status"](spark, sf_dir).collect()}
-    assert got == want
-
-
-def test_rule_state_holds_no_proofs(spark):
-    """200,000 proofs of one rule, in time and without an array of them; the fold of all rules is that of the plain loop."""
+def test_rule_states_do_not_depend_on_how_time_is_cut(spark):
+    """Random logs with ties and null times, and one rule with most of all proofs: the plain loop's states, in one stretch or in many."""
     from docfacts.operators import learning
 
-    n = F.col("id")
-    log = spark.range(200_000).select(
-        F.when(n % 50 == 0, n % 7).otherwise(100).alias("rule_id"), F.lit("FIELD_ANCHOR").alias("kind"), F.lit("CLASS").alias("scope"),
-        F.when((n % 3 == 0) & (n >= 150_000), "NEGATIVE").otherwise("POSITIVE").alias("effect"), (200_000 - n).alias("at"), n.alias("seq"),
-    )
-    states = learning.rule_states(log)
-    assert "collect_list" not in states._jdf.queryExecution().optimizedPlan().toString()
-    want = {}
-    for r in sorted(log.collect(), key=lambda r: (r["at"], r["seq"])):
-        want.setdefault(r["rule_id"], []).append(r["effect"])
-    short = {k: v for k, v in want.items() if k != 100}
-    got = {r["rule_id"]: (r["status"], r["positive"], r["negative"]) for r in states.collect()}
-    assert {k: got[k] for k in short} == {k: fold("FIELD_ANCHOR", "CLASS", v) for k, v in short.items()}
-    assert got[100][1:] == (want[100].count("POSITIVE"), want[100].count("NEGATIVE")) and len(got) == 8
+    r = random.Random(5)
+    rows = [(rule := r.choice((1, 1, 1, *range(40))), "TEMPLATE_TYPE" if rule % 3 == 0 else "ANCHOR", "TEMPLATE" if rule % 2 else "CLASS", r.choice(("POSITIVE", "POSITIVE", "POSITIVE", "NEGATIVE")), r.choice((None, *range(30))), i) for i in range(900)]
+    rows += [(99, "ANCHOR", "CLASS", "POSITIVE" if i < 400 or i % 3 else "NEGATIVE", i // 4, i) for i in range(1500)]
+    log = {}
+    for row in sorted(rows, key=lambda x: (x[4] is None, x[4] or 0, x[5])):
+        log.setdefault(row[:3], []).append(row[3])
+    want = {k[0]: fold(k[1], k[2], v) for k, v in log.items()}
+    df = spark.createDataFrame(rows, "rule_id long, kind string, scope string, effect string, at long, seq long")
+    for chunks in (1, 2, 32):
+        states = learning.rule_states(df, chunks)
+        assert {x["rule_id"]: (x["status"], x["positive"], x["negative"]) for x in states.collect()} == want
+        assert "collect_list" not in states._jdf.queryExecution().optimizedPlan().toString()
+    assert want[99][0] == "ACTIVE" and {s for s, _, _ in want.values()} == {"ACTIVE", "CANDIDATE", "SUSPENDED"}
+    assert learning.rule_states(df.limit(0)).collect() == []
 
 
 def test_snapshot_fingerprint(spark):
