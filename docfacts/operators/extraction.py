@@ -61,14 +61,14 @@ def ngrams(words: Column, longest: int) -> Column:
     return let(words, of)
 
 
-def occurrences(rows: DataFrame, labels: DataFrame, longest: int) -> DataFrame:
-    """Lines × labels: every place where a label of the document's type stands between word boundaries, with g = (first word, n words, start, end).
+def occurrences(rows: DataFrame, labels: DataFrame, longest: int, by: tuple[str, ...] = ("document_type",), few: bool = True) -> DataFrame:
+    """Lines × labels: every place where a label of the document's type (or what else they share, `by`) stands between word boundaries, with g = (first word, n words, start, end).
 
     Only what matches gets its offsets computed. `longest` is the most words that a label of the catalogue has.
     """
     words = F.filter(F.split("folded", " "), lambda w: w != "")
     grams = rows.withColumn("g", F.explode(ngrams(words, longest))).withColumn("label", F.col("g.label"))
-    hits = once(grams.join(F.broadcast(labels), ["document_type", "label"]), "tokens", tokens_with_offsets(F.col("text")))
+    hits = once(grams.join(F.broadcast(labels) if few else labels, [*by, "label"]), "tokens", tokens_with_offsets(F.col("text")))
     last = F.get("tokens", F.col("g.first") + F.col("g.n") - 1)
     place = F.struct(F.col("g.first").alias("first"), F.col("g.n").alias("n"), F.get("tokens", F.col("g.first"))["at"].alias("start"), (last["at"] + F.length(last["word"])).alias("end"))
     return hits.withColumn("g", place).drop("tokens")
