@@ -178,6 +178,34 @@ REA = r"^(?:([A-Z]{2})\s*[-–]?\s*)?(\d{1,7})(?!\d|[/.,]\d)"
 ANNOUNCED = r"(?i)^(?:n|nr|no|num|numero)" + E + r"\.?\s*[:°]?\s*"
 
 
+#: Forms of tax codes, and of numbers that "n." or "prot." announces.
+PERSONAL_CODE, BARE_VAT = r"(?i)" + B + r"([A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])" + E, B + r"(\d{11})" + E
+OWN_NUMBER = r"(?i)" + B + r"(?:numero|nr\.?|n\.) ?[:°]? ?([A-Z0-9][A-Z0-9/_-]{0,30})"
+PROTOCOL_NUMBER = r"(?i)" + B + r"(?:protocollo|prot\.) ?(?:n(?:umero)?\.?|nr\.?)? ?[:°]? ?([A-Z0-9][A-Z0-9/_-]{0,30})"
+NOT_A_PROTOCOL = r"(?<!" + B + r"(?:protocollo|prot\.?) ?(?:n(?:umero)?\.?|nr\.?)? ?[:°]? ?)"
+
+
+def find_tax_code(text: Column, bare_vat: bool) -> Column:
+    """The first personal tax code of a text, in capitals; else, if wanted, the first eleven digits that stand alone."""
+    code = F.upper(group(text, PERSONAL_CODE, 1))
+    return F.coalesce(code, group(text, BARE_VAT, 1)) if bare_vat else code
+
+
+def announced(text: Column, pattern: str) -> Column:
+    """The first announced number that has a digit and is no date."""
+    spaced = F.regexp_replace(text, r"\s+", " ")
+    return F.get(F.filter(F.regexp_extract_all(spaced, F.lit(pattern), 1), lambda x: x.rlike(r"\d") & find_date(x).isNull()), F.lit(0))
+
+
+def find_number(text: Column) -> Column:
+    """A document's own number: one announced by "n.", "nr" or "numero" that isn't the protocol's."""
+    return announced(text, "(?i)" + NOT_A_PROTOCOL + OWN_NUMBER)
+
+
+def find_protocol(text: Column) -> Column:
+    return announced(text, PROTOCOL_NUMBER)
+
+
 def close(text: Column, pattern: str) -> Column:
     return F.regexp_instr(text, F.lit(pattern)).between(1, SAME_LINE_WINDOW + 1)
 

@@ -1,11 +1,10 @@
-"""What a review workspace shows: decoded rows, fields to fill, suggestions, rule lists, item counts, first-reader prefill."""
+"""What a review workspace shows: decoded rows, fields to fill, suggestions, rule lists, item counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfacts.functions.text import fold
 from docfacts.operators.review import blank_to_null
 
 #: Vocabularies of stored rows, and what an unknown value is read as.
@@ -60,17 +59,6 @@ def classifier_audit(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.try_variant_get(m, "$.classifier.source", "string").alias("source"), F.try_variant_get(m, "$.classifier.confidence", "double").alias("confidence"))
 
 
-def prefill(lines: DataFrame, keywords: DataFrame) -> DataFrame:
-    """The first reader: per document and field the value after the longest keyword's first line, in document order.
-
-    lines: doc_id, page, line, text; keywords: field_id, keyword (a catalogue, broadcast). A line counts if the part before its colon holds the keyword.
-    """
-    parts = lines.withColumn("head", F.concat(F.lit(" "), fold(F.substring_index("text", ":", 1)), F.lit(" "))).withColumn("tail", F.trim(F.expr("substring(text, instr(text, ':') + 1)"))).where("instr(text, ':') > 0 and length(tail) between 1 and 200")
-    k = F.broadcast(keywords.withColumn("folded", fold(F.col("keyword"))))
-    hits = parts.join(k, F.contains(F.col("head"), F.concat(F.lit(" "), F.col("folded"), F.lit(" "))))  # the catalogue is small; each line meets it once
-    return hits.groupBy("doc_id", "field_id").agg(F.min_by("tail", F.struct(-F.length("folded"), F.col("page"), F.col("line"))).alias("value"))
-
-
 def one_to_many(old: DataFrame, items: DataFrame) -> DataFrame:
     """A single field read as a list now: its correction goes to the item that equals the old proposal, else becomes an item of its own; a blank one removes that item.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.operators import extraction, learning, queue, workspace
+from docfacts.operators import first_reader as first
+from docfacts.plans.facts import EXPECTED
 from docfacts.plans.learning import PROOFS, proofs_of
 from docfacts.plans.review import FIELDS, fields_of
 from docfacts.sources import registry, render
@@ -56,11 +58,23 @@ def classifier_audit(spark, sf_dir):
     return workspace.classifier_audit(e.withColumn("metrics_json", metrics)).groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("n"), F.count("confidence").alias("with_confidence"))
 
 
+#: Keywords of the fields that the rendered documents may hold, and two that they don't.
+FIRST_READER = [
+    ("issue_date", first.DATE, True, ["data di emissione", "data emissione", "data documento", "data fattura", "emessa il", "emesso il", "rilasciato il", "data del", "del"]),
+    ("total_amount", first.MONEY, False, ["totale complessivo", "totale documento", "totale da pagare", "totale fattura", "importo totale", "totale"]),
+    ("amount", first.MONEY, False, ["importo dovuto", "ammontare", "importo"]),
+    ("document_number", first.NUMBER, True, ["numero documento", "numero fattura", "fattura n", "documento n", "numero", "nr", "n"]),
+    ("protocol_number", first.PROTOCOL, False, ["numero di protocollo", "protocollo n", "protocollo", "prot"]),
+    ("tax_code", first.TAX_CODE, False, ["codice fiscale", "partita iva", "cod fisc", "p iva", "c f"]),
+    ("recipient_name", first.TEXT, False, ["destinatario", "intestatario", "committente", "cessionario", "spettabile", "cliente"]),
+    ("account_identifier", first.TEXT, False, ["numero contratto", "codice cliente", "codice utente", "numero conto", "matricola", "iban", "pod", "pdr"]),
+]
+
+
 def first_reader(spark, sf_dir):
-    """Recipients and IBANs of the rendered documents by the first reader."""
-    lines = render.pages(spark, sf_dir).select("doc_id", "page", F.posexplode("lines").alias("line", "text"))
-    keywords = spark.createDataFrame([("recipient.name", "destinatario"), ("issue_date", "data"), ("issue_date", "data di emissione")], "field_id string, keyword string")
-    return workspace.prefill(lines, keywords)
+    """What the first reader finds in every rendered document."""
+    lines = render.pages(spark, sf_dir).select("doc_id", "page", "text_source", F.posexplode("lines").alias("line", "text"))
+    return first.prefill(lines, spark.createDataFrame(FIRST_READER, first.FIELD_SCHEMA)).select("doc_id", "field_id", "value", "confidence")
 
 
 def one_to_many(spark, sf_dir):
@@ -124,7 +138,11 @@ ORACLE_SQL = {
     "rules_listed": "SELECT user_id AS rule_id, (count(*) FILTER (event_type <> 'error'))::INT AS support FROM events GROUP BY 1 HAVING count(*) FILTER (event_type <> 'error') > 4 * count(*) FILTER (event_type = 'error')",
     "item_counts": FIELDS + "SELECT document_id AS field_id, (max(substr(name, 7)::INT) + 1)::BIGINT AS next_index, count(*) FILTER (now IS NOT NULL AND part % 29 > 0) AS filled FROM f GROUP BY 1",
     "classifier_audit": "SELECT CASE WHEN event_id % 3 = 0 THEN 's' || (event_id % 4) ELSE 'none' END AS source, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS with_confidence FROM events GROUP BY 1",
-    "first_reader": "WITH d AS (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) SELECT o_orderkey AS doc_id, 'recipient.name' AS field_id, c_name AS value FROM d UNION ALL SELECT o_orderkey, 'issue_date', strftime(o_orderdate, '%d/%m/%Y') FROM d",
+    "first_reader": EXPECTED + """, r AS (
+          SELECT doc_id, flaw, CASE field_id WHEN 'document.number' THEN 'document_number' WHEN 'document.issue_date' THEN 'issue_date' WHEN 'money.total' THEN 'total_amount' WHEN 'issuer.vat_number' THEN 'tax_code' WHEN 'recipient.name' THEN 'recipient_name'
+            WHEN 'payment.iban' THEN 'account_identifier' ELSE 'amount' END AS field_id, CASE field_id WHEN 'items.amount' THEN split_part(value, ';', 1) WHEN 'document.number' THEN doc_id::VARCHAR ELSE value END AS value
+          FROM expected WHERE field_id <> 'recipient.vat_number' AND NOT (field_id = 'money.total' AND flaw IN (3, 5))
+        ) SELECT doc_id, field_id, value, CASE WHEN flaw = 4 THEN 0.75 ELSE 0.85 END::DOUBLE AS confidence FROM r""",
     "one_to_many": """WITH l AS (SELECT l_orderkey AS f, l_linenumber - 1 AS i, max(l_returnflag) AS v, max(l_partkey) AS k FROM lineitem GROUP BY 1, 2), o AS (SELECT f, CASE WHEN k % 4 = 0 THEN 'gone' ELSE v END AS v, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'new' END AS c FROM l WHERE i = 0),
         m AS (SELECT o.*, coalesce((SELECT bool_or(l.v = o.v) FROM l WHERE l.f = o.f), false) AS met FROM o WHERE c IS NOT NULL)
         SELECT 'ENGINE' AS origin, (SELECT count(*) FROM l) AS n, count(*) FILTER (met AND c <> '') AS corrected, count(*) FILTER (met AND c = '') AS removed FROM m
