@@ -46,10 +46,17 @@ def full_year(raw: Column) -> Column:
 
 
 def found_date(text: Column) -> Column:
-    """struct<raw, value> of the first ISO date if it is real, else of the first d/m/y date if that is."""
-    iso = F.when(group(text, ISO).isNotNull(), real_date(group(text, ISO, 1), group(text, ISO, 2), group(text, ISO, 3)))
-    dmy = F.when(group(text, DMY).isNotNull(), real_date(full_year(group(text, DMY, 3)), group(text, DMY, 2), group(text, DMY, 1)))
-    return F.when(iso.isNotNull(), F.struct(group(text, ISO).alias("raw"), iso.alias("value"))).when(dmy.isNotNull(), F.struct(group(text, DMY).alias("raw"), dmy.alias("value")))
+    """struct<raw, value> of the first ISO date if it is real, else of the first d/m/y date if that is. Each pattern is sought once a text."""
+
+    def real(raw: Column, order: tuple[int, int, int]) -> Column:
+        def of(parts: Column) -> Column:
+            year, month, day = (F.get(parts, F.lit(i)) for i in order)
+            return let(real_date(full_year(year), month, day), lambda v: F.when(v.isNotNull(), F.struct(raw.alias("raw"), v.alias("value"))))
+
+        return F.when(raw != "", let(F.split(raw, "[/.-]"), of))
+
+    iso = let(F.regexp_extract(text, ISO, 0), lambda r: real(r, (0, 1, 2)))
+    return F.coalesce(iso, let(F.regexp_extract(text, DMY, 0), lambda r: real(r, (2, 1, 0))))
 
 
 def find_date(text: Column) -> Column:
@@ -82,37 +89,42 @@ def read_date(text: Column, window: int = SAME_LINE_WINDOW) -> Column:
 
 def parse_money(raw: Column) -> Column:
     """Two-decimal text; the last separator is the decimal one iff one or two digits follow it."""
-    cleaned = F.regexp_replace(F.regexp_replace(raw, r"[€\s]", ""), "(?i)euro?", "")
-    decimals = group(cleaned, r"[.,](\d{1,2})$", 1)
-    whole = F.regexp_replace(F.when(decimals.isNotNull(), F.regexp_replace(cleaned, r"[.,]\d{1,2}$", "")).otherwise(cleaned), r"\D", "")
-    number = F.concat(F.nullif(whole, F.lit("")), F.lit("."), F.rpad(F.coalesce(decimals, F.lit("")), 2, "0"))
-    return number.try_cast("decimal(30,2)").cast("string")
+
+    def of(cleaned: Column) -> Column:
+        def number(decimals: Column) -> Column:
+            whole = F.regexp_replace(F.when(decimals != "", F.regexp_replace(cleaned, r"[.,]\d{1,2}$", "")).otherwise(cleaned), r"\D", "")
+            return let(whole, lambda w: F.when(w != "", F.concat(w, F.lit("."), F.rpad(decimals, 2, "0"))).try_cast("decimal(30,2)").cast("string"))
+
+        return let(F.regexp_extract(cleaned, r"[.,](\d{1,2})$", 1), number)
+
+    return let(F.regexp_replace(F.regexp_replace(raw, r"[€\s]", ""), "(?i)euro?", ""), of)
 
 
 def mask_dates(text: Column) -> Column:
     """The text with dates in digits blanked out by as many letters, so that they are no amounts."""
+    masked = text
     for pattern, shapes in ((ISO, [10]), (DMY, [10, 9, 8, 7, 6])):
         for n in shapes:
-            text = F.regexp_replace(text, pattern if len(shapes) == 1 else r"(?=.{%d}(?![A-Za-z0-9_]))" % n + DMY, "#" * n)
-    return text
+            masked = F.regexp_replace(masked, pattern if len(shapes) == 1 else r"(?=.{%d}(?![A-Za-z0-9_]))" % n + DMY, "#" * n)
+    return F.when(text.rlike(f"{ISO}|{DMY}"), masked).otherwise(text)
 
 
 def found_money(text: Column) -> Column:
     """struct<raw, value> of the first amount with a currency, decimals or grouping; a minus counts if attached."""
-    masked = mask_dates(text)
-    matches = F.regexp_extract_all(masked, F.lit(MONEY), 0)
-    gaps = F.split(masked, MONEY, -1)
-    shaped = F.filter(
-        F.transform(matches, lambda m, i: F.struct(m.alias("raw"), F.get(gaps, i).alias("before"))),
-        lambda x: x["raw"].rlike(r"(?i)€|eur") | x["raw"].rlike(r"[.,]\d{1,2}$") | x["raw"].rlike(r"\d[.\s,]\d{3}"),
-    )
-
-    def signed(x: Column) -> Column:
-        value = parse_money(x["raw"])
-        minus = x["before"].rlike(r"(?:^|[\s:=])€?\s*[-−]$") & (value.cast("decimal(30,2)") != 0)
-        return F.struct(F.trim(x["raw"]).alias("raw"), F.when(minus, F.concat(F.lit("-"), value)).otherwise(value).alias("value"))
-
-    return let(F.get(shaped, F.lit(0)), lambda x: F.when(x.isNotNull(), signed(x)))
+
+    def first(masked: Column, matches: Column) -> Column:
+        shaped = F.filter(
+            F.transform(matches, lambda m, i: F.struct(m.alias("raw"), i.alias("i"))),
+            lambda x: x["raw"].rlike(r"(?i)€|eur") | x["raw"].rlike(r"[.,]\d{1,2}$") | x["raw"].rlike(r"\d[.\s,]\d{3}"),
+        )
+        return let(F.get(shaped, F.lit(0)), lambda x: F.when(x.isNotNull(), signed(x["raw"], F.get(F.split(masked, MONEY, -1), x["i"]))))
+
+    def signed(raw: Column, before: Column) -> Column:
+        minus = before.rlike(r"(?:^|[\s:=])€?\s*[-−]$")
+        value = let(parse_money(raw), lambda v: F.when(minus & (v.cast("decimal(30,2)") != 0), F.concat(F.lit("-"), v)).otherwise(v))
+        return F.struct(F.trim(raw).alias("raw"), value.alias("value"))
+
+    return let(mask_dates(text), lambda masked: let(F.regexp_extract_all(masked, F.lit(MONEY), 0), lambda found: first(masked, found)))
 
 
 def read_money(text: Column, window: int = SAME_LINE_WINDOW) -> Column:
