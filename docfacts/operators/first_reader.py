@@ -20,6 +20,8 @@ MOST_KEYWORDS = 100_000
 #: What a field holds, and so how it is read; TEXT is what stands after the keyword's colon.
 DATE, MONEY, TAX_CODE, NUMBER, PROTOCOL, TEXT = "date", "money", "tax_code", "number", "protocol", "text"
 READERS = {DATE: values.find_date, MONEY: lambda x: values.found_money(x)["value"], TAX_CODE: lambda x: values.find_tax_code(x, False), NUMBER: values.find_number, PROTOCOL: values.find_protocol}
+#: What a line must hold for a reader to find anything, cheaply told.
+SHAPES = {DATE: r"\d[/.-]\d", MONEY: r"\d", TAX_CODE: r"[A-Za-z]{6}\d{2}", NUMBER: r"(?i)n(?:umero|r|\.)", PROTOCOL: "(?i)prot"}
 FIELD_SCHEMA = "field_id string, kind string, by_shape boolean, keywords array<string>"
 
 
@@ -66,7 +68,7 @@ def by_shape(rows: DataFrame, fields: DataFrame) -> DataFrame:
     kinds = sorted(r["kind"] for r in alone.select("kind").distinct().collect() if r["kind"] in READERS)  # at most as many as there are readers
     marks = F.array(*[F.lit(m) for m in NORM_MARKERS + PRECEDING_MARKERS])
     likely = rows.where(F.col("text").rlike(r"\d") & ~F.arrays_overlap(F.split("folded", " "), marks))
-    read = F.array(*[F.struct(F.lit(k).alias("kind"), READERS[k](F.col("text")).alias("value")) for k in kinds]).cast("array<struct<kind:string,value:string>>")
+    read = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(F.col("text").rlike(SHAPES[k]), READERS[k](F.col("text"))).alias("value")) for k in kinds]).cast("array<struct<kind:string,value:string>>")
     found = likely.select("*", F.explode(read).alias("r")).select("doc_id", "page", "line", "text", "text_source", "r.*").where("value is not null")
     first = rows.groupBy("doc_id").agg(F.min("page").alias("first_page"))
     return found.join(first, "doc_id").where("page = first_page").join(F.broadcast(alone), "kind")

@@ -34,17 +34,49 @@ def lines_under(picks: DataFrame, lines: DataFrame) -> DataFrame:
     return picks.join(there, ["doc_id", "page"]).where(overlaps(F.col("box"), F.col("line_box"))).select("pick", "line")
 
 
-def text_range(text: Column, wanted: Column) -> Column:
-    """struct<start, end>: where `wanted` first stands in a text, in the same letters or else in any case, whatever white space parts its words; null if nowhere or without words."""
-    words = F.filter(F.split(wanted, r"\s+"), lambda w: w != "")
-    quoted = F.transform(words, lambda w: F.regexp_replace(w, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"))
-    pattern = F.when(F.size(words) > 0, F.array_join(quoted, r"\s+"))
+def first_line(text: Column) -> Column:
+    """The first line that isn't blank, trimmed; null without one. Evidence read over two lines is found again by it."""
+    return F.get(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""), F.lit(0))
+
+
+def text_range(text: Column, evidence: Column) -> Column:
+    """struct<start, end>: where the evidence's first line first stands in a text, in the same letters or else in any case, whatever white space parts its words; null if nowhere or without words."""
+
+    def pattern(line: Column) -> Column:
+        quoted = F.transform(F.split(line, r"\s+"), lambda w: F.regexp_replace(w, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"))
+        return F.array_join(quoted, r"\s+")
 
     def found(m: Column) -> Column:
         at = F.position(m, text)
         return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end")))
 
-    return let(F.coalesce(F.regexp_substr(text, pattern), F.regexp_substr(text, F.concat(F.lit("(?iu)"), pattern))), found)
+    return let(pattern(first_line(evidence)), lambda p: let(F.coalesce(F.regexp_substr(text, p), F.regexp_substr(text, F.concat(F.lit("(?iu)"), p))), found))
+
+
+def matched_spans(spans: Column, evidence: Column) -> Column:
+    """struct<first, last>: which of a page's fragments hold the evidence's first line, white space left out on both sides; in the same letters or else in any case.
+
+    spans: array of text in reading order. Null if it stands nowhere, without words, or where a fragment is null. A place in the joined
+    text is led back to its fragment by a running sum of lengths, linear in the fragments.
+    """
+
+    def owner(compact: Column, place: Column) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+        step = lambda acc, x: let(acc["end"] + F.length(x), lambda end: F.struct(end.alias("end"), (acc["n"] + (end < place).cast("int")).alias("n")))
+        return F.aggregate(compact, start, step, lambda acc: acc["n"])
+
+    def of(compact: Column) -> Column:
+        def in_joined(joined: Column) -> Column:
+            def there(needle: Column) -> Column:
+                exact, any_case = F.position(needle, joined), F.position(F.lower(needle), F.lower(joined))
+                at = F.when(exact > 0, exact).when(any_case > 0, any_case)
+                return let(at, lambda p: F.when(p.isNotNull(), F.struct(owner(compact, p).alias("first"), owner(compact, p + F.length(needle) - 1).alias("last"))))
+
+            return let(F.regexp_replace(first_line(evidence), r"\s+", ""), there)
+
+        return let(F.array_join(compact, ""), in_joined)
+
+    return F.when(~F.exists(spans, lambda x: x.isNull()), let(F.transform(spans, lambda x: F.regexp_replace(x, r"\s+", "")), of))
 
 
 def recorded_picks(edits: DataFrame) -> DataFrame:

@@ -95,12 +95,21 @@ def picked_lines(spark, sf_dir):
     return picks.lines_under(drawn, lines)
 
 
+EVIDENCE = " \n ALL  rights\treserved \nsecond line"
+
+
 def text_ranges(spark, sf_dir):
-    """Where a licence's words stand, however they are spaced and written."""
-    place = picks.text_range(F.col("text"), F.lit("ALL  rights\nreserved"))
+    """Where a licence's words stand, however they are spaced and written; the evidence's second line isn't sought."""
+    place = picks.text_range(F.col("text"), F.lit(EVIDENCE))
     return read(spark, sf_dir, "documents").select("doc_id", place.alias("r")).where("r is not null").select("doc_id", F.col("r.start").cast("long").alias("from_char"), F.col("r.end").cast("long").alias("to_char"))
 
 
+def matched_spans(spark, sf_dir):
+    """Which words of a document, as fragments of a page, hold a licence's words."""
+    place = picks.matched_spans(F.split("text", " "), F.lit(EVIDENCE))
+    return read(spark, sf_dir, "documents").select("doc_id", place.alias("r")).where("r is not null").select("doc_id", F.col("r.first").cast("long").alias("first"), F.col("r.last").cast("long").alias("last"))
+
+
 def recorded_picks(spark, sf_dir):
     """Part names selected, sizes apart typed as they are, without a letter, or anew."""
     size, name = F.col("p_size"), F.col("p_name")
@@ -155,7 +164,7 @@ INDEX = r"""
 WITH i AS (SELECT doc_id, 1 AS page, lang, text FROM documents UNION ALL SELECT doc_id, 0, lang, source || ' ' || doc_id || ' Perché.pdf' FROM documents),
 w AS (SELECT doc_id, page, lang, list_filter(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM i)
 """
-QUERIES = {f.__name__: f for f in (review_payloads, resolved_edits, resolved_items, settled_rules, learned_labels, remembered_types, first_page_fingerprints, picked_lines, text_ranges, recorded_picks, page_lines, field_order, index_rows, postings_by_prefix, search_postings)}
+QUERIES = {f.__name__: f for f in (review_payloads, resolved_edits, resolved_items, settled_rules, learned_labels, remembered_types, first_page_fingerprints, picked_lines, text_ranges, matched_spans, recorded_picks, page_lines, field_order, index_rows, postings_by_prefix, search_postings)}
 ORACLE_SQL = {
     "settled_rules": """WITH log AS (SELECT user_id AS rule_id, event_id % 50 AS document_key, event_type = 'error' AS no, ts AS t, event_id AS seq FROM events),
         e AS (SELECT rule_id, bool_or(no) AS no, coalesce(min(row(t, seq)) FILTER (no), min(row(t, seq))) AS m FROM log GROUP BY rule_id, document_key),
@@ -188,6 +197,10 @@ ORACLE_SQL = {
         WHERE least(26.0::DOUBLE, l_discount * 100 + l_quantity) - greatest(6.0::DOUBLE, l_discount * 100) > 0 AND least(26, l_linenumber * 10 + 10) - greatest(12, l_linenumber * 10) >= 5""",
     "text_ranges": r"""SELECT doc_id, strpos(text, m) - 1 AS from_char, strpos(text, m) - 1 + length(m) AS to_char FROM (SELECT doc_id, text,
         CASE WHEN regexp_matches(text, 'ALL\s+rights\s+reserved') THEN regexp_extract(text, 'ALL\s+rights\s+reserved') ELSE regexp_extract(text, '(?i)ALL\s+rights\s+reserved') END AS m FROM documents) WHERE m <> ''""",
+    "matched_spans": r"""WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(regexp_replace(x, '\s+', '', 'g'))) AS n, regexp_replace(text, '\s+', '', 'g') AS j FROM documents),
+        p AS (SELECT doc_id, n, CASE WHEN contains(j, 'ALLrightsreserved') THEN strpos(j, 'ALLrightsreserved') ELSE strpos(lower(j), 'allrightsreserved') END AS pos FROM w),
+        u AS (SELECT doc_id, pos, unnest(range(0, len(n))) AS i, unnest(n) AS n FROM p WHERE pos > 0), e AS (SELECT doc_id, pos, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u)
+        SELECT doc_id, min(i) FILTER (e >= pos) AS first, min(i) FILTER (e >= pos + 16) AS last FROM e GROUP BY 1""",
     "recorded_picks": r"""WITH e AS (SELECT p_partkey, p_size, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS read, CASE WHEN p_size < 20 THEN p_name WHEN p_size < 40 THEN substr(p_name, 2) WHEN p_size < 45 THEN p_brand ELSE '' END AS value FROM part),
         f AS (SELECT *, trim(regexp_replace(lower(read), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) AS b FROM e)
         SELECT p_partkey, read <> value AS text_corrected FROM f WHERE trim(value) <> '' AND read <> '' AND (read = value OR (p_size % 2 = 0 AND levenshtein(a, b) <= greatest(1, greatest(length(a), length(b)) // 4)))""",

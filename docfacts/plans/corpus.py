@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.functions import text as T
-from docfacts.operators import templates
+from docfacts.operators import names, templates
 from docfacts.sources import registry, render
 
 
@@ -100,12 +100,10 @@ def json_schema(spark, sf_dir):
 
 
 def file_names(spark, sf_dir):
-    """Safe and distinct stems of part names: repeated ones get a number, in key order."""
-    from pyspark.sql import Window
-
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.safe_stem(F.col("p_name")).alias("stem"))
-    n = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy("p_partkey"))
-    return parts.withColumn("n", n).select("p_partkey", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("n").cast("string"))).alias("file"))
+    """Safe and distinct stems of parts' names and numbers: the names repeat, and some stems end in a number themselves."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("-"), (F.col("p_size") % 7).cast("string"))).otherwise(F.col("p_type"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.safe_stem(name).alias("stem"))
+    return names.distinct_names(parts, "p_partkey").select("p_partkey", "file")
 
 
 ROWS = "SELECT doc_id, list_filter(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents"
@@ -139,6 +137,8 @@ ORACLE_SQL = {
         ('procurement.preventivo', 'document.number', 'required'), ('procurement.preventivo', 'money.total', 'optional'), ('procurement.preventivo', 'recipient.name', 'optional'), ('procurement.preventivo', 'payment.iban', 'optional')) t(document_type, field_id, role)""",
     "json_schema": """SELECT * FROM (VALUES ('document.number', 'string'), ('document.issue_date', 'string'), ('issuer.vat_number', 'string'), ('recipient.vat_number', 'string'), ('recipient.name', 'string'), ('payment.iban', 'string'),
         ('money.total', 'number'), ('items.amount', 'array<number>')) t(field_id, json_type)""",
-    "file_names": r"""SELECT p_partkey, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS file FROM (SELECT p_partkey, s, row_number() OVER (PARTITION BY lower(s) ORDER BY p_partkey) AS n FROM
-        (SELECT p_partkey, substr(regexp_replace(regexp_replace(regexp_replace(p_name, '\.[A-Za-z0-9]{1,8}$', ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 80) AS s FROM part))""",
+    "file_names": r"""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(CASE WHEN p_partkey % 3 = 0 THEN p_type || '-' || p_size % 7 ELSE p_type END, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[1:80] AS s FROM part),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lower(s) ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY lower(s)) AS size FROM s),
+        free AS (SELECT stem, n, row_number() OVER (PARTITION BY stem ORDER BY n) AS k FROM (SELECT stem, unnest(range(2, size + 1000)) AS n FROM (SELECT lower(s) AS stem, max(size) AS size FROM o GROUP BY 1)) WHERE NOT EXISTS (FROM s WHERE lower(s.s) = stem || '-' || n))
+        SELECT p_partkey, CASE WHEN o.k = 0 THEN s ELSE s || '-' || n END AS file FROM o LEFT JOIN free ON stem = lower(s) AND free.k = o.k""",
 }
