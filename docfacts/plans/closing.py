@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.operators import learning, picks, queue, review, search, templates
+from docfacts.operators import learning, picks, queue, review, search, segments, templates
 from docfacts.plans.corpus import ORACLE_SQL as CORPUS_SQL
 from docfacts.plans.learning import proofs_of
 from docfacts.plans.relational import FOLDED
@@ -153,6 +155,19 @@ def search_postings(spark, sf_dir):
     return found.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+def search_segments(spark, sf_dir):
+    """Ranks through a stored index in segments: all documents, then those that aren't English anew without their first word, then one source's gone."""
+    docs = read(spark, sf_dir, "documents")
+    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/index_{uuid4().hex}"
+    segments.add(spark, place, search.page_rows(docs.select("doc_id", F.lit(1).alias("page"), "text")))
+    changed = docs.where("lang <> 'en'").select("doc_id", F.lit(1).alias("page"), F.expr("substring(text, instr(text, ' ') + 1)").alias("text"))
+    segments.add(spark, place, search.page_rows(changed))
+    segments.add(spark, place, search.page_rows(changed.where(F.lit(False))), docs.where("source = 'src3'"))
+    index, sizes = segments.read(spark, place)
+    found = search.search_postings(index, sizes, search.query_terms("The oner"), limit=None)
+    return found.select("doc_id", F.round("rank", 6).alias("rank"))
+
+
 PARTS = """
 WITH d0 AS (SELECT p_partkey AS doc_id, string_split(p_type, ' ') AS kind, p_type || p_brand AS template, p_brand AS brand, CASE WHEN p_size = 1 THEN 'by.hand' END AS manual_type, p_size FROM part),
 d AS (SELECT doc_id, kind[1] AS document_type, template, brand, manual_type, list_distinct(list_concat(kind, [brand, 'kind:' || kind[1], 'size:' || p_size % 5])) AS features FROM d0),
@@ -164,7 +179,7 @@ INDEX = r"""
 WITH i AS (SELECT doc_id, 1 AS page, lang, text FROM documents UNION ALL SELECT doc_id, 0, lang, source || ' ' || doc_id || ' Perché.pdf' FROM documents),
 w AS (SELECT doc_id, page, lang, list_filter(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM i)
 """
-QUERIES = {f.__name__: f for f in (review_payloads, resolved_edits, resolved_items, settled_rules, learned_labels, remembered_types, first_page_fingerprints, picked_lines, text_ranges, matched_spans, recorded_picks, page_lines, field_order, index_rows, postings_by_prefix, search_postings)}
+QUERIES = {f.__name__: f for f in (review_payloads, resolved_edits, resolved_items, settled_rules, learned_labels, remembered_types, first_page_fingerprints, picked_lines, text_ranges, matched_spans, recorded_picks, page_lines, field_order, index_rows, postings_by_prefix, search_postings, search_segments)}
 ORACLE_SQL = {
     "settled_rules": """WITH log AS (SELECT user_id AS rule_id, event_id % 50 AS document_key, event_type = 'error' AS no, ts AS t, event_id AS seq FROM events),
         e AS (SELECT rule_id, bool_or(no) AS no, coalesce(min(row(t, seq)) FILTER (no), min(row(t, seq))) AS m FROM log GROUP BY rule_id, document_key),
@@ -209,5 +224,6 @@ ORACLE_SQL = {
     "field_order": FIELDS + """SELECT document_id, name, row_number() OVER (PARTITION BY document_id ORDER BY CASE name WHEN 'field_4' THEN 1 WHEN 'field_2' THEN 2 ELSE 3 END, lower(coalesce(value, 'z') || ' ' || name), name) AS place FROM fields""",
     "index_rows": INDEX + "SELECT page, count(*) AS n_rows, sum(n)::BIGINT AS words FROM (SELECT page, CASE WHEN lang = 'en' THEN len(w) ELSE 1 END AS n FROM w WHERE lang = 'en' OR page = 0) GROUP BY 1",
     "postings_by_prefix": INDEX + "SELECT substr(x, 1, 2) AS prefix, count(DISTINCT x) AS terms, count(DISTINCT (x, doc_id, page)) AS n_rows, count(*) AS words FROM (SELECT doc_id, page, unnest(w) AS x FROM w) WHERE length(x) > 1 GROUP BY 1",
+    "search_segments": FOLDED.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN lang <> 'en' THEN substr(text, strpos(text, ' ') + 1) ELSE text END AS text FROM documents WHERE source <> 'src3')") + "SELECT doc_id, round(rank, 6) AS rank FROM ranked",
     "search_postings": FOLDED + "SELECT doc_id, round(rank, 6) AS rank FROM ranked",
 }
