@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.functions.text import folded_words
+from docfacts.functions.text import folded_words, let
 
 K1, B = 1.2, 0.75
 PREFIX = 2  # characters of a word by which postings are partitioned
@@ -65,13 +65,36 @@ def search(rows: DataFrame, terms: list[str], limit: int | None = 50) -> DataFra
     return best.orderBy(F.col("rank").desc(), "doc_id").limit(limit) if limit else best
 
 
+def narrowest(words: Column, terms: list[str]) -> Column:
+    """struct<start, length>: the shortest run of words with a word for each of the terms, the earliest of several; null without. One pass over the words that match, with each term's last place."""
+    places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), F.array(*[w.startswith(t) for t in terms]).alias("of"))), lambda x: F.array_contains(x["of"], True))
+    start = F.struct(F.array(*[F.lit(-1)] * len(terms)).alias("last"), F.lit(-1).alias("start"), F.lit(2**31 - 1).alias("length"))
+
+    def step(acc: Column, x: Column) -> Column:
+        def after(last: Column) -> Column:
+            first = F.array_min(last)
+            shorter = (first >= 0) & (x["i"] - first + 1 < acc["length"])
+            return F.struct(last.alias("last"), F.when(shorter, first).otherwise(acc["start"]).alias("start"), F.when(shorter, x["i"] - first + 1).otherwise(acc["length"]).alias("length"))
+
+        return let(F.zip_with(acc["last"], x["of"], lambda p, here: F.when(here, x["i"]).otherwise(p)), after)
+
+    return let(F.aggregate(places, start, step), lambda best: F.when(best["start"] >= 0, F.struct(best["start"].alias("start"), best["length"].alias("length"))))
+
+
 def snippets(rows: DataFrame, terms: list[str], width: int = 12) -> DataFrame:
-    """doc_id, page, snippet: `width` words around the first match, matches in brackets."""
+    """doc_id, page, snippet: `width` words around the shortest run that has all terms (its first words, where it is longer), all matches in brackets.
+
+    As much is shown before the run as after it, less at a text's ends. A page row without all terms has none; an empty query matches nothing.
+    """
     hits = matches(rows, terms).where("hit")
-    found = F.filter(F.transform("terms", lambda w, i: F.when(w.startswith(terms[0]), i)), lambda i: i.isNotNull())
-    start = F.greatest(F.get(found, F.lit(0)) - width // 2, F.lit(0))
-    marked = F.transform(F.slice("terms", start + 1, F.lit(width)), lambda w: F.when(F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.call_function("startswith", w, t)), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    return hits.select("doc_id", "page", F.array_join(marked, " ").alias("snippet"))
+    if not terms:
+        return hits.select("doc_id", "page", F.lit("").alias("snippet"))
+    run = F.col("run")
+    room = F.greatest(F.lit(width) - run["length"], F.lit(0))
+    start = F.greatest(F.least(run["start"] - F.floor(room / 2), F.greatest(F.size("terms") - width, run["start"] - room)), F.lit(0)).cast("int")
+    matched = lambda w: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.call_function("startswith", w, t))
+    marked = F.transform(F.slice("terms", start + 1, F.lit(width)), lambda w: F.when(matched(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    return hits.withColumn("run", F.explode(F.array(narrowest(F.col("terms"), terms)))).select("doc_id", "page", F.array_join(marked, " ").alias("snippet"))
 
 
 def indexed(pages: DataFrame, files: DataFrame) -> DataFrame:

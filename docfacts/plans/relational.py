@@ -130,5 +130,10 @@ ORACLE_SQL = {
     "cache_usage": "SELECT count(*) AS files, coalesce(sum(n_chars), 0)::BIGINT AS bytes FROM documents",
     "pages_needing_ocr": "SELECT doc_id, length(text) AS n FROM documents WHERE length(trim(text, ' ')) < 100",
     "search_bm25": FOLDED + "SELECT doc_id, round(rank, 6) AS rank FROM ranked",
+    "search_snippets": FOLDED + """, seen AS (SELECT doc_id, w, i - 1 AS i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM rows_ JOIN ranked USING (doc_id))),
+        ends AS (SELECT doc_id, w, i, max(CASE WHEN starts_with(x, 'the') THEN i END) OVER o AS a, max(CASE WHEN starts_with(x, 'oner') THEN i END) OVER o AS b FROM seen WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        run AS (SELECT doc_id, w, len(w) AS n, least(a, b) AS s, i - least(a, b) + 1 AS l FROM ends WHERE a IS NOT NULL AND b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i - least(a, b), i) = 1),
+        shown AS (SELECT doc_id, w, CASE WHEN l >= 12 THEN s ELSE greatest(0, least(s - (12 - l) // 2, greatest(n - 12, s - (12 - l)))) END AS f FROM run)
+        SELECT doc_id, 1 AS page, array_to_string(list_transform(w[f + 1 : f + 12], lambda x: CASE WHEN starts_with(x, 'the') OR starts_with(x, 'oner') THEN '[' || x || ']' ELSE x END), ' ') AS snippet FROM shown""",
     "search_hits": FOLDED + "SELECT doc_id FROM ranked ORDER BY rank DESC, doc_id LIMIT 50",
 }
