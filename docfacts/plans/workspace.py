@@ -32,10 +32,10 @@ def files_to_fetch(spark, sf_dir):
 
 
 def acquired_pages(spark, sf_dir):
-    """Every third document has lost its text layer; every fifth was recognised."""
-    d = read(spark, sf_dir, "documents")
-    native = d.select("doc_id", (F.col("doc_id") % 2 + 1).cast("int").alias("page"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
-    ocr = d.where("doc_id % 5 = 0").select("doc_id", (F.col("doc_id") % 2 + 1).cast("int").alias("page"), "text")
+    """Documents in a language other than English have no text layer; all of them but one source's were recognised."""
+    d = read(spark, sf_dir, "documents").withColumn("page", (F.col("doc_id") % 2 + 1).cast("int"))
+    native = d.select("doc_id", "page", F.when(F.col("lang") == "en", F.col("text")).otherwise("").alias("text"))
+    ocr = d.where("lang <> 'en' and source <> 'src3'").select("doc_id", "page", "text")
     pages = acquisition.acquire(native, ocr)
     return pages.groupBy("text_source").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
 
@@ -172,7 +172,7 @@ ORACLE_SQL = {
     "drive_listing": "SELECT p_partkey AS id, false AS is_folder FROM part WHERE p_partkey % 10 > 0 UNION SELECT p_partkey + 1, false FROM part WHERE p_partkey % 10 = 0 AND p_partkey % 100 > 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part) UNION SELECT (-100 - n_nationkey)::BIGINT, true FROM nation",
     "files_to_fetch": """WITH r AS (SELECT o_custkey AS id, max(o_orderdate) AS m FROM orders GROUP BY 1), s AS (SELECT o_custkey AS id, max(o_orderdate) AS m, max(o_orderkey) % 4 > 0 AS cached FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
         SELECT r.id FROM r LEFT JOIN s USING (id) WHERE s.m IS NULL OR r.m > s.m OR NOT cached""",
-    "acquired_pages": """WITH n AS (SELECT doc_id, text AS o, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) ELSE text END AS t, doc_id % 5 = 0 AS r FROM documents),
+    "acquired_pages": """WITH n AS (SELECT doc_id, text AS o, CASE WHEN lang = 'en' THEN text ELSE '' END AS t, lang <> 'en' AND source <> 'src3' AS r FROM documents),
         p AS (SELECT CASE WHEN length(trim(t, ' ')) < 100 THEN CASE WHEN r AND length(o) >= length(t) THEN 'OCR' WHEN r THEN 'NATIVE_TEXT' ELSE 'OCR_FAILED' END ELSE 'NATIVE_TEXT' END AS text_source, o, t FROM n)
         SELECT text_source, count(*) AS pages, sum(length(CASE WHEN text_source = 'OCR' THEN o ELSE t END))::BIGINT AS chars FROM p GROUP BY 1""",
     "document_sources": """WITH p AS (SELECT doc_id // 10 AS doc_id, doc_id % 10 AS page, CASE WHEN length(text) < 100 THEN 'OCR_FAILED' WHEN length(text) < 400 THEN 'OCR' ELSE 'NATIVE_TEXT' END AS s FROM documents)
