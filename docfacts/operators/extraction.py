@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfacts.functions import values
-from docfacts.functions.text import fold, folded_words, let, tokens_with_offsets
+from docfacts.functions.text import fold, fold_in_place, folded_words, let, tokens_with_offsets
 from docfacts.functions.validators import VALIDATORS, validate
 from docfacts.sources import registry
 
@@ -20,6 +20,7 @@ SAME_LINE, NEXT_LINE, COMPUTED, OCR_PENALTY, FAILURE_PENALTY, ACCEPT = 0.85, 0.8
 NORM_MARKERS = ["art", "artt", "articolo", "articoli", "comma", "decreto", "legge", "dlgs", "lgs", "dpr", "dm", "dl", "direttiva", "regolamento", "circolare"]
 PRECEDING_MARKERS = ["via", "viale", "vicolo", "piazza", "piazzale", "corso", "largo", "atto", "deposito", "rif", "riferim", "riferimento", "ns", "vs"]
 MOST_LABELS = 200_000
+MOST_HEADS = 10_000  # first words of labels that are written into the plan; with more, all runs of words are joined
 
 
 def two_places(x: Column) -> Column:
@@ -50,28 +51,45 @@ def with_sections(rows: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(owner), "folded", "left").withColumn("party", F.nullif(carried, F.lit(""))).drop("parties")
 
 
-def ngrams(words: Column, longest: int) -> Column:
-    """array<struct<label, first, n>> of all runs of up to `longest` words."""
+def ngrams(words: Column, longest: int, heads: list[str] | None = None) -> Column:
+    """array<struct<label, first, n>> of all runs of up to `longest` words, or of those alone that begin with one of `heads`."""
 
     def of(w: Column) -> Column:
         run = lambda i, n: F.struct(F.array_join(F.slice(w, i + 1, n), " ").alias("label"), i.alias("first"), n.alias("n"))
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i)), lambda n: run(i, n)))
+        places = F.sequence(F.lit(0), F.size(w) - 1)
+        if heads is not None:
+            places = F.filter(places, lambda i: F.get(w, i).isin(heads))
+        runs = F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i)), lambda n: run(i, n)))
         return F.when(F.size(w) > 0, F.flatten(runs)).otherwise(F.array().cast("array<struct<label:string,first:int,n:int>>"))
 
     return let(words, of)
 
 
-def occurrences(rows: DataFrame, labels: DataFrame, longest: int, by: tuple[str, ...] = ("document_type",), few: bool = True) -> DataFrame:
+def word_span(text: Column, first: Column, last: Column) -> Column:
+    """struct<start, end> of the folded words `first` to `last` of a text, as offsets in the text itself (0-based, end exclusive)."""
+
+    def of(parts: Column) -> Column:
+        full = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i) != "")
+        begin, stop = F.get(full, first), F.get(full, last)
+        upto = lambda i: F.length(F.array_join(F.slice(parts, 1, i), " "))
+        return F.struct((upto(begin) + F.when(begin > 0, 1).otherwise(0)).alias("start"), upto(stop + 1).alias("end"))
+
+    return let(F.split(fold_in_place(text), " "), of)
+
+
+def occurrences(rows: DataFrame, labels: DataFrame, longest: int, by: tuple[str, ...] = ("document_type",), few: bool = True, heads: list[str] | None = None) -> DataFrame:
     """Lines × labels: every place where a label of the document's type (or what else they share, `by`) stands between word boundaries, with g = (first word, n words, start, end).
 
-    Only what matches gets its offsets computed. `longest` is the most words that a label of the catalogue has.
+    Only what matches gets its offsets computed. `longest` is the most words that a label of the catalogue has; `heads`, all first words of its labels, spares the runs that can't be one.
     """
     words = F.filter(F.split("folded", " "), lambda w: w != "")
-    grams = rows.withColumn("g", F.explode(ngrams(words, longest))).withColumn("label", F.col("g.label"))
-    hits = once(grams.join(F.broadcast(labels) if few else labels, [*by, "label"]), "tokens", tokens_with_offsets(F.col("text")))
-    last = F.get("tokens", F.col("g.first") + F.col("g.n") - 1)
-    place = F.struct(F.col("g.first").alias("first"), F.col("g.n").alias("n"), F.get("tokens", F.col("g.first"))["at"].alias("start"), (last["at"] + F.length(last["word"])).alias("end"))
-    return hits.withColumn("g", place).drop("tokens")
+    grams = rows.withColumn("g", F.explode(ngrams(words, longest, heads))).withColumn("label", F.col("g.label"))
+    hits = once(grams.join(F.broadcast(labels) if few else labels, [*by, "label"]), "span", word_span(F.col("text"), F.col("g.first"), F.col("g.first") + F.col("g.n") - 1))
+    return hits.withColumn("g", F.struct("g.first", "g.n", "span.start", "span.end")).drop("span")
+
+
+#: Whether a folded text has any word that may make a label near it a citation.
+ANY_MARKER = rf"(?<!\S)(?:{'|'.join(NORM_MARKERS + PRECEDING_MARKERS)})(?!\S)"
 
 
 def cited(text: Column, first: Column, n: Column) -> Column:
@@ -159,14 +177,15 @@ def after_twin(rest: Column) -> Column:
 
 def reads(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per label occurrence with a value: on the same line, else after the label's twins, else on the next line of the page."""
-    catalogue = labels.select("type", "format", "scale", "words").distinct().collect()
+    catalogue = labels.select("type", "format", "scale", "words", F.substring_index("label", " ", 1).alias("head")).distinct().collect()
     kinds, longest = sorted({tuple(r)[:3] for r in catalogue}, key=str), max((r["words"] for r in catalogue), default=1)
-    found = occurrences(rows, with_twins(labels), longest)
+    heads = sorted({r["head"] for r in catalogue})
+    found = occurrences(rows, with_twins(labels), longest, heads=heads if len(heads) <= MOST_HEADS else None)
     before, rest = F.rtrim(F.substring("text", F.lit(1), F.col("g.start"))), F.substring(F.col("text"), F.col("g.end") + 1, F.length("text"))
     opens = (before == "") | before.rlike("[-–—|;•(]$") | ((F.trim(rest) == "") & before.rlike(TRAILING_TAX_ID)) | rest.rlike(BARE + r"[/\\]")
     party = F.substring_index("field_id", ".", 1)
     found = found.where(((F.col("type") != "string") | opens) & (~party.isin("issuer", "recipient") | F.col("party").isNull() | (party == F.col("party"))))
-    found = once(found, "cited", cited(F.col("text"), F.col("g.first"), F.col("g.n"))).where("not cited").withColumn("rest", rest)
+    found = once(found, "cited", F.col("folded").rlike(ANY_MARKER) & cited(F.col("text"), F.col("g.first"), F.col("g.n"))).where("not cited").withColumn("rest", rest)
     direct = F.when(~((F.col("type") == "money") & F.col("rest").rlike(COLUMNS)), read_by_kind(F.col("rest"), kinds, False))
     tail = F.when(F.col("rest").rlike(BARE + r"[/\\]"), after_twin(F.col("rest")))
     found = once(once(found, "direct", direct), "tail", F.when(F.col("direct").isNull(), tail))

@@ -78,4 +78,5 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(second, F.array().cast("array<string>")),
     )
     source = F.when(flaw == 4, "OCR").otherwise("NATIVE_TEXT")
-    return inv.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), source.alias("text_source"), F.lit(DOCUMENT_TYPE).alias("document_type"), lines.alias("lines"))
+    once = F.explode(F.array(lines)).alias("lines")  # so that filters on the lines don't render them again
+    return inv.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), source.alias("text_source"), F.lit(DOCUMENT_TYPE).alias("document_type"), once)
