@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from docfacts.plans import anchors, audits, closing, corpus, display, facts, learning, relational, review, streams, workspace
+from docfacts.plans import anchors, audits, catalogues, closing, corpus, display, facts, learning, relational, review, streams, workspace
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (facts, relational, corpus, review, learning, streams, workspace, display, closing, anchors, audits):
+for _module in (facts, relational, corpus, review, learning, streams, workspace, display, closing, anchors, audits, catalogues):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

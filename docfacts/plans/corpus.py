@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docfacts.functions import text as T
 from docfacts.operators import names, templates
-from docfacts.sources import registry, render
+from docfacts.sources import render
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,34 +71,6 @@ def corpus_manifest(spark, sf_dir):
     return docs_of(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(leak).alias("leaks"))
 
 
-def registry_audit(spark, sf_dir):
-    """Gap counters of the catalogue: unknown references, fields without alias, fields that no type asks for, labels that several fields share."""
-    f, p = registry.fields(spark), registry.profiles(spark)
-    gaps = [
-        ("unknown_references", registry.missing_references(p, f)),
-        ("fields_without_alias", f.where("size(aliases) = 0")),
-        ("unused_fields", f.join(p.select("field_id"), "field_id", "left_anti")),
-        ("shared_labels", registry.labels(spark).groupBy("document_type", "label").agg(F.count("*").alias("n")).where("n > 1")),
-    ]
-    out = None
-    for name, rows in gaps:
-        row = rows.agg(F.lit(name).alias("counter"), F.count("*").alias("n"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def registry_overlay(spark, sf_dir):
-    """Profiles after a reviewer's decisions."""
-    decisions = spark.createDataFrame([("accounting.fattura", "payment.iban", "required"), ("accounting.fattura", "recipient.name", "excluded"), ("procurement.preventivo", "payment.iban", "optional")], "document_type string, field_id string, state string")
-    return registry.apply_overlay(registry.profiles(spark), decisions).select("document_type", "field_id", "role")
-
-
-def json_schema(spark, sf_dir):
-    """JSON-Schema property type of each catalogue field: numbers for amounts, arrays for repeated fields."""
-    base = F.when(F.col("type").isin("money", "number", "percentage"), "number").when(F.col("type") == "integer", "integer").when(F.col("type") == "boolean", "boolean").when(F.col("type") == "object", "object").otherwise("string")
-    return registry.fields(spark).select("field_id", F.when(F.col("cardinality") == "many", F.concat(F.lit("array<"), base, F.lit(">"))).otherwise(base).alias("json_type"))
-
-
 def file_names(spark, sf_dir):
     """Safe and distinct stems of parts' names and numbers: the names repeat, and some stems end in a number themselves."""
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("-"), (F.col("p_size") % 7).cast("string"))).otherwise(F.col("p_type"))
@@ -107,7 +79,7 @@ def file_names(spark, sf_dir):
 
 
 ROWS = "SELECT doc_id, list_filter(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents"
-QUERIES = {f.__name__: f for f in (fold_documents, tokenize_documents, lines_explode, template_fingerprint, template_clusters, template_similarity, near_cleanup, content_sha, json_fields, corpus_manifest, registry_audit, registry_overlay, json_schema, file_names)}
+QUERIES = {f.__name__: f for f in (fold_documents, tokenize_documents, lines_explode, template_fingerprint, template_clusters, template_similarity, near_cleanup, content_sha, json_fields, corpus_manifest, file_names)}
 ORACLE_SQL = {
     "fold_documents": "SELECT doc_id, sha256(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))) AS folded_sha256 FROM documents",
     "tokenize_documents": f"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct FROM ({ROWS})",
@@ -130,13 +102,6 @@ ORACLE_SQL = {
     "json_fields": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1",
     "corpus_manifest": r"""SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars,
         count(*) FILTER (regexp_matches(text, '(^|[^A-Za-z0-9_])[A-Z]{2}\d{2}[A-Z0-9]{11,30}($|[^A-Za-z0-9_])') OR regexp_matches(text, '(^|[^A-Za-z0-9_])[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]($|[^A-Za-z0-9_])')) AS leaks FROM documents GROUP BY 1""",
-    "registry_audit": "SELECT * FROM (VALUES ('unknown_references', 0::BIGINT), ('fields_without_alias', 1), ('unused_fields', 0), ('shared_labels', 2)) t(counter, n)",
-    "registry_overlay": """SELECT * FROM (VALUES ('accounting.fattura', 'document.number', 'required'), ('accounting.fattura', 'document.issue_date', 'required'), ('accounting.fattura', 'money.total', 'required'),
-        ('accounting.fattura', 'issuer.vat_number', 'optional'), ('accounting.fattura', 'recipient.vat_number', 'optional'), ('accounting.fattura', 'payment.iban', 'required'), ('accounting.fattura', 'items.amount', 'optional'),
-        ('accounting.nota_di_credito', 'document.number', 'required'), ('accounting.nota_di_credito', 'money.total', 'required'), ('accounting.nota_di_credito', 'issuer.vat_number', 'optional'),
-        ('procurement.preventivo', 'document.number', 'required'), ('procurement.preventivo', 'money.total', 'optional'), ('procurement.preventivo', 'recipient.name', 'optional'), ('procurement.preventivo', 'payment.iban', 'optional')) t(document_type, field_id, role)""",
-    "json_schema": """SELECT * FROM (VALUES ('document.number', 'string'), ('document.issue_date', 'string'), ('issuer.vat_number', 'string'), ('recipient.vat_number', 'string'), ('recipient.name', 'string'), ('payment.iban', 'string'),
-        ('money.total', 'number'), ('items.amount', 'array<number>')) t(field_id, json_type)""",
     "file_names": r"""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(CASE WHEN p_partkey % 3 = 0 THEN p_type || '-' || p_size % 7 ELSE p_type END, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[1:80] AS s FROM part),
         o AS (SELECT *, row_number() OVER (PARTITION BY lower(s) ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY lower(s)) AS size FROM s),
         free AS (SELECT stem, n, row_number() OVER (PARTITION BY stem ORDER BY n) AS k FROM (SELECT stem, unnest(range(2, size + 1000)) AS n FROM (SELECT lower(s) AS stem, max(size) AS size FROM o GROUP BY 1)) WHERE NOT EXISTS (FROM s WHERE lower(s.s) = stem || '-' || n))

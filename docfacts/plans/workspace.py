@@ -111,12 +111,6 @@ def activity_feed(spark, sf_dir):
     return profiles.activity(log.where("kind <> 'STATE'"), log.where("kind = 'STATE'")).select("id", "origin")
 
 
-def profile_changelog(spark, sf_dir):
-    before = registry.profiles(spark)
-    decisions = spark.createDataFrame([("accounting.fattura", "payment.iban", "required"), ("accounting.fattura", "recipient.name", "excluded"), ("procurement.preventivo", "payment.iban", "optional")], "document_type string, field_id string, state string")
-    return profiles.changelog(before, registry.apply_overlay(before, decisions)).select("document_type", "field_id", "change")
-
-
 def reprocess_queue(spark, sf_dir):
     changed = spark.createDataFrame([("type.1",), ("type.3",)], "document_type string")
     return profiles.to_reprocess(queue_documents(spark, sf_dir), changed, "document_type").select("id")
@@ -167,7 +161,7 @@ def normal_values(spark, sf_dir):
 
 CLOSURES = "WITH c AS (SELECT event_id % 97 AS document_key, event_type = 'error' AS discarded, ts, event_id AS seq, 't' || (user_id % 4) AS document_type FROM events), last AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY document_key ORDER BY ts DESC, seq DESC) = 1) "
 EDITS = "WITH log AS (SELECT event_id AS id, 't' || (user_id % 4) AS document_type, event_id % 13 AS field_id, CASE event_type WHEN 'click' THEN 'HINT' WHEN 'view' THEN 'CARDINALITY' ELSE 'STATE' END AS kind, ts, event_id % 7 = 0 AS reverted, event_type = 'purchase' AS reverts FROM events), live AS (SELECT * FROM log WHERE NOT reverted AND NOT reverts), newest AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY document_type, field_id, kind ORDER BY ts DESC, id DESC) = 1) "
-QUERIES = {f.__name__: f for f in (drive_listing, files_to_fetch, acquired_pages, document_sources, runs_to_lines, placed_boxes, review_events, last_closures, replay_reviews, template_proofs, standing_edits, revertable_edits, activity_feed, profile_changelog, reprocess_queue, rename_fields, files_manifest, expiries, scoring_by_type, type_accuracy, normal_values)}
+QUERIES = {f.__name__: f for f in (drive_listing, files_to_fetch, acquired_pages, document_sources, runs_to_lines, placed_boxes, review_events, last_closures, replay_reviews, template_proofs, standing_edits, revertable_edits, activity_feed, reprocess_queue, rename_fields, files_manifest, expiries, scoring_by_type, type_accuracy, normal_values)}
 ORACLE_SQL = {
     "drive_listing": "SELECT p_partkey AS id, false AS is_folder FROM part WHERE p_partkey % 10 > 0 UNION SELECT p_partkey + 1, false FROM part WHERE p_partkey % 10 = 0 AND p_partkey % 100 > 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part) UNION SELECT (-100 - n_nationkey)::BIGINT, true FROM nation",
     "files_to_fetch": """WITH r AS (SELECT o_custkey AS id, max(o_orderdate) AS m FROM orders GROUP BY 1), s AS (SELECT o_custkey AS id, max(o_orderdate) AS m, max(o_orderkey) % 4 > 0 AS cached FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
@@ -187,7 +181,6 @@ ORACLE_SQL = {
     "standing_edits": EDITS + "SELECT document_type, field_id, kind, id FROM newest",
     "revertable_edits": EDITS + "SELECT id FROM newest WHERE kind <> 'HINT' UNION ALL SELECT id FROM live WHERE kind = 'HINT'",
     "activity_feed": EDITS + "SELECT id, CASE WHEN kind = 'STATE' THEN 'RULE' ELSE 'MAP' END AS origin FROM log ORDER BY ts DESC, id DESC LIMIT 400",
-    "profile_changelog": "SELECT * FROM (VALUES ('accounting.fattura', 'payment.iban', 'CHANGED'), ('accounting.fattura', 'recipient.name', 'REMOVED'), ('procurement.preventivo', 'payment.iban', 'ADDED')) t(document_type, field_id, change)",
     "reprocess_queue": QUEUE + "SELECT id FROM queue WHERE status = 'NEEDS_REVIEW' AND document_type IN ('type.1', 'type.3')",
     "rename_fields": FIELDS + "SELECT CASE WHEN name = 'field_1' AND document_id NOT IN (SELECT document_id FROM fields WHERE name = 'field_2') THEN 'field_2' ELSE name END AS name, count(*) AS n FROM fields GROUP BY 1",
     "files_manifest": "SELECT url AS name, sha256(html) AS sha256, length(html) % 4 > 0 AS matches FROM (SELECT url, max(html) AS html FROM pages GROUP BY 1)",
