@@ -91,18 +91,28 @@ def registry_audit(spark, sf_dir):
     return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("counter"), F.count("*").alias("n")) for name, rows in gaps.items()])
 
 
+def catalogue_bundle(spark, sf_dir):
+    """The corrected catalogue: a JSON list per type, its fields in order, those that reviewers added last."""
+    item = F.struct("ord", F.struct("field_id", "role").alias("f"))
+    rows = apply_overlay(drawn(spark, sf_dir).asked, decisions(spark, sf_dir)).groupBy("document_type").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    return rows.select("document_type", F.to_json(F.transform("i", lambda x: x["f"])).alias("fields"))
+
+
 PARTS = """WITH p AS (SELECT p_partkey AS k, p_brand AS t, p_type || '.' || p_size AS f, p_type || '.' || (p_size + p_partkey % 2) AS g, p_type AS label FROM part),
 f AS (SELECT f, min(k) AS k, min(label) AS label FROM p GROUP BY 1),
 a AS (SELECT t, f, CASE WHEN min(k) % 2 = 0 THEN 'required' ELSE 'optional' END AS role FROM p GROUP BY 1, 2),
 d AS (SELECT t, g AS f, ['required', 'optional', 'excluded'][min(k) % 3 + 1] AS state FROM p WHERE k % 7 = 0 GROUP BY 1, 2),
 o AS (SELECT t, f, role, state, coalesce(state, role) AS now FROM a FULL JOIN d USING (t, f))
 """
-QUERIES = {f.__name__: f for f in (registry_overlay, profile_changelog, json_schema, corrected_types, corrected_fields, registry_audit)}
+QUERIES = {f.__name__: f for f in (registry_overlay, profile_changelog, json_schema, corrected_types, corrected_fields, registry_audit, catalogue_bundle)}
 ORACLE_SQL = {
     "registry_overlay": PARTS + "SELECT t AS document_type, f AS field_id, now AS role FROM o WHERE now <> 'excluded'",
     "profile_changelog": PARTS
     + """SELECT t AS document_type, f AS field_id, CASE WHEN role IS NULL THEN 'ADDED' WHEN now = 'excluded' THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM o
         WHERE NOT (role IS NULL AND now = 'excluded') AND now IS DISTINCT FROM role""",
+    "catalogue_bundle": PARTS
+    + """SELECT t AS document_type, '[' || string_agg('{"field_id":"' || f || '","role":"' || now || '"}', ',' ORDER BY CASE role WHEN 'required' THEN 0 WHEN 'optional' THEN 1 ELSE 2 END, f) || ']' AS fields
+        FROM o WHERE now <> 'excluded' GROUP BY 1""",
     "json_schema": PARTS + "SELECT f AS field_id, CASE WHEN k % 3 = 0 THEN 'array<' || j || '>' ELSE j END AS json_type FROM (SELECT *, ['object', 'number', 'integer', 'string'][k % 4 + 1] AS j FROM f)",
     "corrected_types": PARTS
     + """SELECT t AS key, coalesce(string_agg(f, ',' ORDER BY f) FILTER (now = 'required'), '') AS required, coalesce(string_agg(f, ',' ORDER BY f) FILTER (now = 'optional'), '') AS optional, lower(t) AS note FROM o GROUP BY t""",

@@ -10,7 +10,7 @@ from docfacts.operators import first_reader as first
 from docfacts.plans.facts import EXPECTED
 from docfacts.plans.learning import PROOFS, proofs_of
 from docfacts.plans.review import FIELDS, fields_of
-from docfacts.sources import registry, render
+from docfacts.sources import render
 
 
 def decoded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +99,6 @@ def learned_rules_bundle(spark, sf_dir):
     return learning.snapshot_fingerprint(rules)
 
 
-def catalogue_bundle(spark, sf_dir):
-    """The corrected catalogue: a JSON object per type, its fields in order."""
-    rows = registry.profiles(spark)
-    item = F.struct("ord", F.struct("field_id", "role").alias("f"))
-    return rows.groupBy("document_type").agg(F.array_sort(F.collect_list(item)).alias("i")).select("document_type", F.to_json(F.transform("i", lambda x: x["f"])).alias("fields"))
-
-
 def type_aliases(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(workspace.alias_of(F.col("o_orderpriority"), {"1-URGENT": "urgent", "5-LOW": "low"}).alias("type"))
     return o.groupBy("type").agg(F.count("*").alias("n"))
@@ -126,7 +119,7 @@ def shared_evidence(spark, sf_dir):
     return rows.groupBy("field_id", "status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (decoded_rows, review_groups, suggested_types, document_warnings, rules_listed, item_counts, classifier_audit, first_reader, one_to_many, many_to_one, learned_rules_bundle, catalogue_bundle, type_aliases, recoded_statuses, shared_evidence)}
+QUERIES = {f.__name__: f for f in (decoded_rows, review_groups, suggested_types, document_warnings, rules_listed, item_counts, classifier_audit, first_reader, one_to_many, many_to_one, learned_rules_bundle, type_aliases, recoded_statuses, shared_evidence)}
 ORACLE_SQL = {
     "decoded_rows": """SELECT CASE event_type WHEN 'view' THEN 'REVIEWED' WHEN 'click' THEN 'NEEDS_REVIEW' ELSE 'DISCARDED' END AS status, 'LOW' AS band, CASE WHEN event_type = 'error' THEN 'OCR' ELSE 'none' END AS source,
         count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS boxes, coalesce(sum(event_id) FILTER (event_id % 3 = 0), 0)::DOUBLE AS width FROM events GROUP BY 1, 2, 3""",

@@ -43,10 +43,10 @@ def rules_by_status(spark, sf_dir):
 
 
 def manual_transitions(spark, sf_dir):
-    """Every pair of statuses, and whether a reviewer may make the change."""
-    statuses = F.array(*[F.lit(x) for x in ("ACTIVE", "CANDIDATE", "REJECTED", "SUSPENDED")])
-    pairs = spark.range(1).select(F.explode(statuses).alias("before")).select("before", F.explode(statuses).alias("after"))
-    return pairs.withColumn("legal", learning.legal_transition(F.col("before"), F.col("after")))
+    """Changes of a rule's status that events ask for, and whether a reviewer may make them."""
+    status = lambda i: F.element_at(F.array(*[F.lit(x) for x in ("ACTIVE", "CANDIDATE", "REJECTED", "SUSPENDED")]), (i % 4 + 1).cast("int"))
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select(status(F.col("event_id")).alias("before"), status(F.col("user_id")).alias("after"))
+    return asked.withColumn("legal", learning.legal_transition(F.col("before"), F.col("after"))).groupBy("before", "after", "legal").agg(F.count("*").alias("n"))
 
 
 PROOFS = "WITH log AS (SELECT user_id AS rule_id, event_id % 50 AS document_key, CASE WHEN event_type = 'error' THEN 'NEGATIVE' ELSE 'POSITIVE' END AS effect, ts AS at FROM events), effects AS (SELECT rule_id, document_key, CASE WHEN bool_or(effect = 'NEGATIVE') THEN 'NEGATIVE' ELSE 'POSITIVE' END AS effect FROM log GROUP BY 1, 2) "
@@ -67,5 +67,5 @@ ORACLE_SQL = {
     "rule_effects": PROOFS + "SELECT * FROM effects",
     "rule_reliability": PROOFS + "SELECT *, support / (support + negatives) AS precision, (support + 1) / (support + negatives + 2) AS reliability FROM (SELECT rule_id, count(*) FILTER (effect = 'POSITIVE') AS support, count(*) FILTER (effect = 'NEGATIVE') AS negatives FROM effects GROUP BY 1)",
     "effects_since_active": PROOFS + ", a AS (SELECT user_id AS rule_id, max(ts) AS active_at FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT rule_id, count(*) AS n, count(*) FILTER (effect = 'NEGATIVE') AS negatives FROM log LEFT JOIN a USING (rule_id) WHERE active_at IS NULL OR log.at > active_at GROUP BY 1",
-    "manual_transitions": "SELECT b AS before, a AS after, (b, a) IN (('ACTIVE', 'SUSPENDED'), ('ACTIVE', 'REJECTED'), ('SUSPENDED', 'ACTIVE'), ('SUSPENDED', 'REJECTED'), ('CANDIDATE', 'REJECTED')) AS legal FROM (VALUES ('ACTIVE'), ('CANDIDATE'), ('REJECTED'), ('SUSPENDED')) x(b), (VALUES ('ACTIVE'), ('CANDIDATE'), ('REJECTED'), ('SUSPENDED')) y(a)",
+    "manual_transitions": "WITH s AS (SELECT ['ACTIVE', 'CANDIDATE', 'REJECTED', 'SUSPENDED'] AS s), c AS (SELECT s[event_id % 4 + 1] AS before, s[user_id % 4 + 1] AS after FROM events, s) SELECT before, after, (before, after) IN (('ACTIVE', 'SUSPENDED'), ('ACTIVE', 'REJECTED'), ('SUSPENDED', 'ACTIVE'), ('SUSPENDED', 'REJECTED'), ('CANDIDATE', 'REJECTED')) AS legal, count(*) AS n FROM c GROUP BY 1, 2",
 }
