@@ -13,6 +13,7 @@ from docfacts.operators.extraction import BARE, COLUMNS, TRAILING_TAX_ID, cited,
 from docfacts.operators.picks import candidate_labels, derive_anchor
 
 SAME_LINE, NEXT_LINE = "same-line", "next-line"
+MOST_ANCHORS = 200_000  # up to so many learned anchors are broadcast
 LEAST_PICKS = 2  # selections that a template's anchor needs
 
 
@@ -24,10 +25,10 @@ def label_reads(rows: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ("doc_
     twins and no other labels, since a label is probed by itself. The kinds collected here are those of the field catalogue.
     """
     wanted = wanted.withColumn("format", F.col("format").cast("string")).withColumn("scale", F.col("scale").cast("string"))
-    kinds = sorted({tuple(r) for r in wanted.select("type", "format", "scale").distinct().collect()}, key=str)
-    longest = wanted.agg(F.coalesce(F.max(F.size(F.split("label", " "))), F.lit(1))).first()[0]
-    own = rows.select("doc_id", "page", "line", "text", "folded", "next_text").join(wanted.select(*by).distinct(), list(by), "left_semi")
-    found = occurrences(own, wanted, longest, by, few=False)
+    asked = wanted.groupBy("type", "format", "scale").agg(F.max(F.size(F.split("label", " "))).alias("longest")).collect()
+    kinds, longest = sorted({tuple(r)[:3] for r in asked}, key=str), max((r["longest"] or 1 for r in asked), default=1)
+    own = rows.select("doc_id", "page", "line", "text", "folded", "next_text").hint("merge").join(wanted.select(*by).distinct(), list(by), "left_semi")
+    found = occurrences(own, wanted.hint("merge"), longest, by, few=False)
     before, rest = F.rtrim(F.substring("text", F.lit(1), F.col("g.start"))), F.substring(F.col("text"), F.col("g.end") + 1, F.length("text"))
     opens = (before == "") | before.rlike("[-–—|;•(]$") | ((F.trim(rest) == "") & before.rlike(TRAILING_TAX_ID))
     found = once(found.where((F.col("type") != "string") | opens), "cited", cited(F.col("text"), F.col("g.first"), F.col("g.n"))).where("not cited").withColumn("rest", rest)
@@ -45,8 +46,9 @@ def candidates(rows: DataFrame, picks: DataFrame) -> DataFrame:
     picks: pick, doc_id, page, line, column (0-based, where the selection begins), type, format, scale.
     """
     texts = rows.select("doc_id", "page", "line", "text")
-    above = texts.select("doc_id", "page", (F.col("line") + 1).alias("line"), F.col("text").alias("above"))
-    at = picks.join(texts, ["doc_id", "page", "line"]).join(above, ["doc_id", "page", "line"], "left").where((F.col("column") >= 0) & (F.col("column") <= F.length("text")))
+    above = texts.select("doc_id", "page", (F.col("line") + 1).alias("line"), F.col("text").alias("above")).hint("merge")
+    # lines drawn from compressed tables are estimated far too small: unhinted, they would be broadcast through the driver
+    at = picks.join(texts.hint("merge"), ["doc_id", "page", "line"]).join(above, ["doc_id", "page", "line"], "left").where((F.col("column") >= 0) & (F.col("column") <= F.length("text")))
     before = F.substring("text", F.lit(1), F.col("column"))
     same = before.rlike(r"\p{L}")
     source = F.when(same, before).otherwise(F.col("above"))
@@ -60,7 +62,7 @@ def derive_anchors(rows: DataFrame, picks: DataFrame) -> DataFrame:
     reads = label_reads(rows, asked)
     fits = (F.col("value_line") == F.col("own_line")) & ((F.col("relation") == NEXT_LINE) | (F.col("label_end") <= F.col("own_column")))
     counted = reads.groupBy("pick", "relation", "label").agg(F.count("*").alias("reads"), F.bool_and(fits).alias("at_selection"))
-    return derive_anchor(counted).join(counted.select("pick", "label", "relation"), ["pick", "label"])
+    return derive_anchor(counted)
 
 
 def learned_anchors(anchors: DataFrame, least: int = LEAST_PICKS) -> DataFrame:
@@ -78,6 +80,8 @@ def read_again(rows: DataFrame, documents: DataFrame, learned: DataFrame, kinds:
 
     documents: doc_id, template; kinds: field_id, type, format, scale.
     """
+    learned = learned.localCheckpoint()
+    learned = F.broadcast(learned) if learned.count() <= MOST_ANCHORS else learned
     wanted = documents.join(learned, "template").join(kinds, "field_id").select("doc_id", "field_id", "label", "relation", "type", "format", "scale")
     reads = label_reads(rows, wanted, ("doc_id",))
     return reads.groupBy("doc_id", "field_id", "label").agg(F.min_by("value", F.struct("page", "value_line", "label_end")).alias("value"))

@@ -135,12 +135,13 @@ def candidate_labels(before: Column) -> Column:
 
 
 def derive_anchor(labels: DataFrame) -> DataFrame:
-    """The shortest label that reads exactly once on its page, at the selection.
+    """pick, label and, where labels have one, relation: the shortest label that reads exactly once on its page, at the selection.
 
-    labels: pick, label, reads (how many values it reads on the page), at_selection.
+    labels: pick, label, relation (a pick's own), reads (how many values it reads on the page), at_selection.
     """
     ok = labels.where("reads = 1 and at_selection")
-    return ok.groupBy("pick").agg(F.min_by("label", F.struct(F.length("label"), F.col("label"))).alias("label"))
+    kept = [c for c in ("label", "relation") if c in labels.columns]
+    return ok.groupBy("pick").agg(F.min_by(F.struct(*kept), F.struct(F.length("label"), *kept)).alias("a")).select("pick", "a.*")
 
 
 def made_of(label: Column, entity_words: Column) -> Column:

@@ -49,7 +49,7 @@ def documents_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def anchors_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     pages, documents, picks = documents_of(spark, sf_dir)
     rows = extraction.lines(pages)
-    derived = anchors.derive_anchors(rows, picks).join(picks.select("pick", "template", "field_id"), "pick")
+    derived = anchors.derive_anchors(rows, picks).join(picks.select("pick", "template", "field_id").hint("merge"), "pick")
     return rows, documents, anchors.learned_anchors(derived)
 
 
