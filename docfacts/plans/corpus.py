@@ -36,8 +36,7 @@ def template_fingerprint(spark, sf_dir):
 
 def template_clusters(spark, sf_dir):
     """Rendered documents by signature."""
-    rows = render.pages(spark, sf_dir).select("doc_id", templates.signature(F.col("lines"))["fingerprint"].alias("fingerprint"))
-    return rows.groupBy("fingerprint").agg(F.count("*").alias("documents")).groupBy().agg(F.count("*").alias("templates"), F.sum("documents").alias("documents"))
+    return templates.template_counts(render.pages(spark, sf_dir)).groupBy().agg(F.count("*").alias("templates"), F.sum("documents").alias("documents"))
 
 
 def template_similarity(spark, sf_dir):

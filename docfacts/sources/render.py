@@ -39,15 +39,17 @@ def italian_amount(value: Column) -> Column:
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey and all values that its document shows."""
+    """o_orderkey and all values that its document shows; an item's line is written before items are gathered, where that is compiled.
+
+    Customers are joined to the bare orders, so that items move once and documents stay where their order's key puts them.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     orders = read("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     customers = read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    items = read("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.min("l_suppkey").alias("suppkey"),
-        F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("amount")))).alias("items"),
-    )
-    return orders.join(items, "o_orderkey").join(customers, "o_custkey")
+    amount = F.col("l_extendedprice").cast("decimal(18,2)")
+    written = read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", F.struct("l_linenumber", amount.alias("amount"), F.concat(F.lit("Importo riga: "), italian_amount(amount)).alias("text")).alias("item"))
+    items = written.groupBy("o_orderkey").agg(F.min("l_suppkey").alias("suppkey"), F.sort_array(F.collect_list("item")).alias("items"))
+    return orders.join(customers, "o_custkey").join(items, "o_orderkey")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("Partita IVA: "), F.when(flaw == 1, wrong).otherwise(vat)),
             F.concat(F.lit("Destinatario: "), F.col("c_name")),
         ),
-        F.transform("items", lambda x: F.concat(F.lit("Importo riga: "), italian_amount(x["amount"]))),
+        F.col("items.text"),
         total,
         F.coalesce(second, F.array().cast("array<string>")),
     )
