@@ -58,6 +58,7 @@ def classifier_audit(spark, sf_dir):
     return workspace.classifier_audit(e.withColumn("metrics_json", metrics)).groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("n"), F.count("confidence").alias("with_confidence"))
 
 
+ROWS_A_TASK = 250_000  # line items that a task sorts
 #: Keywords of the fields that the rendered documents may hold, and two that they don't.
 FIRST_READER = [
     ("issue_date", first.DATE, True, ["data di emissione", "data emissione", "data documento", "data fattura", "emessa il", "emesso il", "rilasciato il", "data del", "del"]),
@@ -77,16 +78,22 @@ def first_reader(spark, sf_dir):
     return first.prefill(lines, spark.createDataFrame(FIRST_READER, first.FIELD_SCHEMA)).select("doc_id", "field_id", "value", "confidence")
 
 
+def by_order(lineitem):
+    """Line items by order in as many parts as their number asks for: what a task sorts doesn't grow with the table, and all that is keyed by order keeps to these parts."""
+    parts = max(lineitem.sparkSession.sparkContext.defaultParallelism, -(-lineitem.count() // ROWS_A_TASK))
+    return lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey").repartition(parts, "l_orderkey")
+
+
 def one_to_many(spark, sf_dir):
     """Each order's first line as the single field, all lines as the list that it becomes."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("field_id"), (F.col("l_linenumber") - 1).alias("item_index")).agg(F.max("l_returnflag").alias("value"), F.max("l_partkey").alias("k"))  # noqa: E741
+    l = by_order(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).groupBy(F.col("l_orderkey").alias("field_id"), (F.col("l_linenumber") - 1).alias("item_index")).agg(F.max("l_returnflag").alias("value"), F.max("l_partkey").alias("k"))  # noqa: E741
     old = l.where("item_index = 0").select("field_id", F.when(F.col("k") % 4 == 0, "gone").otherwise(F.col("value")).alias("value"), F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, "new").alias("corrected_value"))
     out = workspace.one_to_many(old, l.select("field_id", "item_index", "value"))
     return out.groupBy("origin").agg(F.count("*").alias("n"), F.count("corrected_value").alias("corrected"), F.count_if("removed").alias("removed"))
 
 
 def many_to_one(spark, sf_dir):
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("field_id"), F.col("l_linenumber").alias("item_index")).agg(F.max("l_returnflag").alias("value"), F.max("l_partkey").alias("k"))  # noqa: E741
+    l = by_order(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).groupBy(F.col("l_orderkey").alias("field_id"), F.col("l_linenumber").alias("item_index")).agg(F.max("l_returnflag").alias("value"), F.max("l_partkey").alias("k"))  # noqa: E741
     items = l.select("field_id", "item_index", "value", F.when(F.col("k") % 5 == 0, "Z").alias("corrected_value"), (F.col("k") % 2 == 0).alias("removed"))
     new = l.groupBy("field_id").agg(F.lit("Z").alias("value"))
     return workspace.many_to_one(items, new)
