@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.functions.text import folded_words, let
+from docfacts.functions.text import let, words_column
 
 K1, B = 1.2, 0.75
 PREFIX = 2  # characters of a word by which postings are partitioned
@@ -25,9 +25,14 @@ def query_terms(text: str) -> list[str]:
     return [t for t in re.split("[^a-z0-9]+", plain) if len(t) > 1]
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages dealt to tasks by document before their texts are folded: a file is read by as many tasks as it has row groups, often one. What is counted by document afterwards isn't moved."""
+    return pages.repartition("doc_id")
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """doc_id, page, terms: one row per page."""
-    return pages.select("doc_id", "page", folded_words(F.col("text")).alias("terms"))
+    return pages.select("doc_id", "page", words_column(F.col("text")).alias("terms"))
 
 
 def matches(rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -109,7 +114,8 @@ def reindexed(index: DataFrame, rows: DataFrame) -> DataFrame:
 
 def postings(rows: DataFrame) -> DataFrame:
     """prefix, term, doc_id, page, tf, n_words: a row per word and page row. Words of one character aren't searched for and have none."""
-    words = rows.select("doc_id", "page", F.size("terms").alias("n_words"), F.explode("terms").alias("term")).where(F.length("term") > 1)
+    # outer, so that no filter on its size folds the text once more; what has no words is dropped with the short ones
+    words = rows.select("doc_id", "page", F.size("terms").alias("n_words"), F.explode_outer("terms").alias("term")).where(F.length("term") > 1)
     counted = words.groupBy("term", "doc_id", "page", "n_words").agg(F.count("*").cast("int").alias("tf"))
     return counted.select(F.substring("term", 1, PREFIX).alias("prefix"), "term", "doc_id", "page", "tf", "n_words")
 

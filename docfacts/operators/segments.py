@@ -1,7 +1,7 @@
 """A search index in segments: changed documents are written as a new segment, earlier rows of theirs are dead and skipped when read.
 
-Under the index's folder lie, by segment: `postings` (as `search.postings`, in the order of words, so that row groups of other words are
-skipped; a frequent word is cut by document), `rows` (doc_id, page, n_words), `touched` (documents whose earlier rows are dead) and `stats` (what the segment added and
+Under the index's folder lie, by segment: `postings` (as `search.postings`, each file in the order of words, so that row groups and pages of other
+words are skipped; a segment is cut by document if its rows were `search.spread`, and its postings move no more), `rows` (doc_id, page, n_words), `touched` (documents whose earlier rows are dead) and `stats` (what the segment added and
 what it killed). `stats` is written last: a segment without it was broken off, isn't read, and is written anew by the next call. One writer at
 a time; readers go on with the segments they began with. All rows read and written are spread over tasks; the driver learns four sums a segment.
 """
@@ -70,7 +70,7 @@ def add(spark: SparkSession, path: str, rows: DataFrame, deleted: DataFrame | No
     if deleted is not None:
         touched = touched.unionByName(deleted.select(F.col("doc_id").cast("long")))
     write(touched.where("doc_id is not null").distinct(), path, "touched", segment)
-    write(postings(rows).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), path, "postings", segment)
+    write(postings(rows).sortWithinPartitions("term", "doc_id"), path, "postings", segment)
     write(rows.select("doc_id", "page", F.size("terms").alias("n_words")), path, "rows", segment)
     mine = stored(spark, path, "touched").where(F.col("segment") == segment)
     killed = live(spark, path, "rows", newest).join(mine.select("doc_id"), "doc_id", "left_semi")

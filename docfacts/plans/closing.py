@@ -159,9 +159,9 @@ def search_segments(spark, sf_dir):
     """Ranks through a stored index in segments: all documents, then those that aren't English anew without their first word, then one source's gone."""
     docs = read(spark, sf_dir, "documents")
     place = f"{spark.conf.get('spark.sql.warehouse.dir')}/index_{uuid4().hex}"
-    segments.add(spark, place, search.page_rows(docs.select("doc_id", F.lit(1).alias("page"), "text")))
+    segments.add(spark, place, search.page_rows(search.spread(docs.select("doc_id", F.lit(1).alias("page"), "text"))))
     changed = docs.where("lang <> 'en'").select("doc_id", F.lit(1).alias("page"), F.expr("substring(text, instr(text, ' ') + 1)").alias("text"))
-    segments.add(spark, place, search.page_rows(changed))
+    segments.add(spark, place, search.page_rows(search.spread(changed)))
     segments.add(spark, place, search.page_rows(changed.where(F.lit(False))), docs.where("source = 'src3'"))
     index, sizes = segments.read(spark, place)
     found = search.search_postings(index, sizes, search.query_terms("The oner"), limit=None)

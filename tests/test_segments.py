@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docfacts.functions.text import folded_words, words_column
 from docfacts.operators import search, segments
 
 WORDS = "the cat category dog 2024 20th oner ones perche zebra".split()
@@ -72,3 +73,23 @@ def test_only_words_asked_for_are_read(spark, tmp_path, monkeypatch, few):
     plan = search.search_postings(index, sizes, ["cat", "the"])._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,cat)" in plan and ("BroadcastHashJoin" in plan or not few)
     assert set(ranks(search.search_postings(index, sizes, ["cat", "the"]))) == {1}
+
+
+def test_words_are_those_of_the_whole_folding(spark):
+    texts = ["The quick--Brown fox", "Perché no, e\u0301te\u0301!", "stra\u00dfe \u00d7 \u00e6on \u0130x na\u00efve", "\u4e2d\u6587 20th caf\u00c9\u4e2db", "\u0301", "\u1e9e\u1ea1b", "  ", "", "---", "a\n\tb", "\U0001d400x", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    for r in rows.select("text", folded_words(F.col("text")).alias("want"), words_column(F.col("text")).alias("got")).collect():
+        assert r["got"] == r["want"], r["text"]
+
+
+def test_a_segments_postings_stay_where_their_documents_are(spark, monkeypatch, tmp_path):
+    plans = {}
+
+    def write(df, path, part, segment):
+        plans[part] = df._jdf.queryExecution().executedPlan().toString()
+        df.write.mode("overwrite").parquet(f"{path}/{part}/segment={segment}")
+
+    monkeypatch.setattr(segments, "write", write)
+    pages = table(spark, {i: {1: f"the cat {i}"} for i in range(50)})
+    segments.add(spark, str(tmp_path / "index"), search.page_rows(search.spread(pages)))
+    assert plans["postings"].count("Exchange") == 1 and plans["postings"].count("split(") == 1  # folded once
