@@ -30,3 +30,16 @@ def test_folded_columns_and_ibans(spark):
     assert all(r[0] == r[1] for r in rows.select(text.fold(F.col("x")), text.fold_column(F.col("x"))).collect())
     ibans = spark.createDataFrame([("IT60X0542811101000000123456",), ("IT61X0542811101000000123456",), ("GB82 WEST 1234 5698 7654 32",), ("è",)], "x string")
     assert [bool(r[0]) for r in ibans.select(validators.valid_iban(F.col("x"))).collect()] == [True, False, True, False]
+
+
+def test_bare_digits_are_checked_as_whole_ids(spark, monkeypatch):
+    ids = ["12345678903", "12345678904", "00000000000", "IT12345678903", "it 123 4567 8903", "12345678903\n", "1234567890", "123456789012", "RSSMRA80A01H501U", "", " ", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x string")
+
+    def got():
+        return [tuple(r) for r in rows.select("i", validators.vat_check(F.col("x")), validators.tax_id_check(F.col("x"))).orderBy("i").collect()]
+
+    fast = got()
+    assert fast[0][1:] == ("VALID", "VALID") and fast[1][1:] == ("BAD_CHECKSUM", "BAD_CHECKSUM")
+    monkeypatch.setattr(validators, "BARE_DIGITS", r"(?!)")  # nothing is bare
+    assert fast == got()
