@@ -231,6 +231,29 @@ def test_lm_scores(spark, sf_dir, corpus):
     assert sum(r["score"] - r["base_score"] for r in rows if r["held_out"]) > 0
 
 
+def test_lm_hot_contexts(spark):
+    """The default rules; most contexts are hot, their numbers are added up over buckets. A length of context takes one exchange, so stages are few."""
+    r = np.random.default_rng(5)
+    likely, texts = r.uniform(0.05, 0.95, 16), []
+    for _ in range(30):
+        bits = [0, 0, 0, 0]
+        for _ in range(500):
+            bits.append(int(r.random() < likely[int("".join(map(str, bits[-4:])), 2)]))
+        texts.append(" ".join(f"w{b}" for b in bits))
+    texts += ["w0 w1 w1 w0", "", "w0 unseen w1"]
+    teach = [i % 7 != 2 for i in range(len(texts))]
+    tokens = [[*t.encode().split(), b"\n"] for t in texts]
+    want, states, _ = suffix_tree_scores(tokens, teach, suffix_tree.Rules())
+    spark.sparkContext.setJobGroup("hot contexts", "")
+    rows = suffix_tree.score_documents(spark.createDataFrame([(i, t, on) for i, (t, on) in enumerate(zip(texts, teach, strict=True))], "doc_id long, text string, teaches boolean"), None, 3_000, 300).collect()
+    tracker, lengths = spark.sparkContext.statusTracker(), max(map(len, states)) + 1
+    stages = {x for j in tracker.getJobIdsForGroup("hot contexts") if (job := tracker.getJobInfo(j)) for x in job.stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    assert len(rows) == len(texts) and lengths > 4
+    assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-6) for r in rows)
+    assert len(stages) <= 24 * lengths, (len(stages), lengths)
+
+
 def test_suffix_tree_states_are_distributions():
     texts = [t.split() for t in ["a b c a b c a b d a b c"] * 4 + ["a b c", "b c a c a b"] * 3]
     _, states, p = suffix_tree_scores(texts, [True] * len(texts), suffix_tree.Rules(2, 0.1))
