@@ -38,11 +38,11 @@ def mean_of_hundredths(x: Column) -> Column:
     return F.when(n > 0, F.floor((total * 200 + n) / (n * 2)) / 10000)
 
 
-def lines(pages: DataFrame) -> DataFrame:
-    """A row per line: doc_id, page, line, text, folded, next_text, text_source, document_type."""
+def lines(pages: DataFrame, *more: str) -> DataFrame:
+    """A row per line: doc_id, page, line, text, folded, next_text, text_source, document_type and the pages' columns `more`."""
     pairs = F.arrays_zip(F.col("lines").alias("text"), F.slice("lines", F.lit(2), F.size("lines")).alias("next_text"))  # no line carries its whole page
-    rows = pages.select("doc_id", "page", "text_source", "document_type", F.posexplode(pairs).alias("line", "l"))
-    return rows.select("doc_id", "page", "text_source", "document_type", "line", F.col("l.text").alias("text"), fold_column(F.col("l.text")).alias("folded"), F.col("l.next_text").alias("next_text"))
+    rows = pages.select("doc_id", "page", "text_source", "document_type", *more, F.posexplode(pairs).alias("line", "l"))
+    return rows.select("doc_id", "page", "text_source", "document_type", *more, "line", F.col("l.text").alias("text"), fold_column(F.col("l.text")).alias("folded"), F.col("l.next_text").alias("next_text"))
 
 
 def with_sections(rows: DataFrame, sections: DataFrame) -> DataFrame:

@@ -134,14 +134,14 @@ def candidate_labels(before: Column) -> Column:
     return let(words, of)
 
 
-def derive_anchor(labels: DataFrame) -> DataFrame:
-    """pick, label and, where labels have one, relation: the shortest label that reads exactly once on its page, at the selection.
+def derive_anchor(labels: DataFrame, of: tuple[str, ...] = ("pick",)) -> DataFrame:
+    """pick (or what else tells selections apart, `of`), label and, where labels have one, relation: the shortest label that reads exactly once on its page, at the selection.
 
     labels: pick, label, relation (a pick's own), reads (how many values it reads on the page), at_selection.
     """
     ok = labels.where("reads = 1 and at_selection")
     kept = [c for c in ("label", "relation") if c in labels.columns]
-    return ok.groupBy("pick").agg(F.min_by(F.struct(*kept), F.struct(F.length("label"), *kept)).alias("a")).select("pick", "a.*")
+    return ok.groupBy(*of).agg(F.min_by(F.struct(*kept), F.struct(F.length("label"), *kept)).alias("a")).select(*of, "a.*")
 
 
 def made_of(label: Column, entity_words: Column) -> Column:

@@ -33,11 +33,11 @@ def layouts() -> tuple[Column, Column]:
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pages of all orders; doc_id and template of each; and the selections that a reviewer made in pending ones."""
+    """Pages of all orders, with their templates; doc_id and template of each; and the selections that a reviewer made in pending ones."""
     lines, places = layouts()
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("lines", lines)
-    pages = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit("NATIVE_TEXT").alias("text_source"), F.lit("unknown").alias("document_type"), "lines")
     template = F.concat(F.lit("layout."), (F.col("o_custkey") % 3).cast("string"))
+    pages = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit("NATIVE_TEXT").alias("text_source"), F.lit("unknown").alias("document_type"), template.alias("template"), "lines")
     texts = F.array(*[F.struct(F.lit(f).alias("field_id"), F.get(places, F.lit(i)).alias("line"), w.alias("written")) for i, (f, w) in enumerate(written().items())])
     chosen = orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), template.alias("template"), "lines", F.explode(texts).alias("t"))
     column = anchors.column_of(F.get("lines", F.col("t.line")), F.col("t.written"))
@@ -48,8 +48,8 @@ def documents_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def anchors_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     pages, documents, picks = documents_of(spark, sf_dir)
-    rows = extraction.lines(pages)
-    derived = anchors.derive_anchors(rows, picks).join(picks.select("pick", "template", "field_id").hint("merge"), "pick")
+    rows = extraction.lines(pages, "template")
+    derived = anchors.derive_anchors(rows, picks, "template", "field_id")
     return rows, documents, anchors.learned_anchors(derived)
 
 
